@@ -66,9 +66,10 @@ def byte_segments(length: int):
     return segments
 
 
-def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes sorted by at least their first `depth` bytes: groups of equal
-    prefixes are refined by the rank of what follows, with twice the prefix each time."""
+def suffix_array(raw: np.ndarray) -> np.ndarray:
+    """Starts of the sorted suffixes (Larsson-Sadakane): groups of equal prefixes are refined by
+    the rank of what follows, with twice the prefix each time; single suffixes rest.  The order
+    is complete, as Kasai's rule needs it."""
     n = len(raw)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), ">u8", buffer=padded.data, strides=(1,)).astype(np.uint64)
@@ -77,7 +78,7 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
     new = R.first_of(key)
     rank, h = np.empty(n, np.int64), 8
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    while h < depth:
+    while h < n:
         single = new & np.append(new[1:], True)
         act = np.flatnonzero(~single)
         if not len(act):
@@ -132,7 +133,7 @@ def repeated_windows(stretches: list[bytes], length: int) -> tuple[np.ndarray, n
     sizes = np.array([len(x) for x in stretches], np.int64)
     starts = np.cumsum(sizes) - sizes
     raw = np.frombuffer(b"".join(stretches), np.uint8)
-    sa = suffix_array(raw, length)
+    sa = suffix_array(raw)
     lcp = common_prefixes(raw, sa, starts, sizes, length)
     group = np.cumsum(lcp < length)
     who = np.searchsorted(starts, sa, "right") - 1
