@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+        "op6_simhash": simhash.op6_simhash,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     }
 
 
