@@ -165,15 +165,14 @@ def shard_spans(rows: list[tuple], length: int, hot: set[int]):
 
 
 def merged(runs: list[tuple]) -> tuple[np.ndarray, ...]:
-    """Spans of the strings that more than one run has (or one has, and knows as repeated).
-    runs: from each shard, sorted digests with what belongs to them."""
-    hit = [r[6] == R.SURE for r in runs]
-    for i, r in enumerate(runs):
-        for j, q in enumerate(runs):
-            if i != j and len(q[0]):
-                at = np.searchsorted(q[0], r[0])
-                at = np.minimum(at, len(q[0]) - 1)
-                hit[i] = hit[i] | ((q[0][at] == r[0]) & (q[1][at] == r[1]))
+    """Spans of the strings that more than one run has, where their shards did not know.  runs:
+    sorted digests with what belongs to them; the first run has every digest, so each of the
+    others is looked up in it by binary search."""
+    base = runs[0]
+    hit = [np.zeros(len(base[0]), bool)] + [np.ones(len(r[0]), bool) for r in runs[1:]]
+    for r in runs[1:]:
+        hit[0][np.searchsorted(base[0], r[0])] = True
+    hit = [h & (r[6] == R.OPEN) for r, h in zip(runs, hit, strict=True)]
     return R.joined(*(np.concatenate([r[c][h] for r, h in zip(runs, hit, strict=True)]) for c in (3, 2, 4, 5)))
 
 
@@ -234,13 +233,13 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     sorted_ = C.stage(sorted_, "suffixes")
 
     def merge(batches):
-        # sorted by digest: pieces between digests are merged run by run
+        # sorted by digest; g_run numbers a digest's rows, so the rows of one number are a run
         schema = C.arrow_schema(MERGED)
         held = None
 
         def out(x):
             o = np.lexsort((x[0], x[7]))
-            x = [c[o] for c in x]
+            x = [c[o] for c in x]  # pieces never part a digest
             cuts = np.append(np.flatnonzero(R.first_of(x[7])), len(x[7]))
             sp = merged([tuple(c[i:j] for c in x[:7]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i > 1 else c) for i, c in enumerate(sp)], schema=schema)
