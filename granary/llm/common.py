@@ -133,12 +133,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some documents: start, end and document of each, and 64-bit hashes."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray):
-        """raw: bytes; off: the documents' offsets in it, from its start."""
+    def __init__(self, raw: np.ndarray, off: np.ndarray, gaps: np.ndarray | None = None):
+        """raw: bytes; off: the documents' offsets in it, from its start; gaps: whether each
+        byte parts words."""
         n = len(raw)
-        space = np.zeros(256, bool)
-        space[list(SPACES)] = True
-        gap = space[raw]
+        if gaps is None:
+            gaps = np.zeros(256, bool)
+            gaps[list(SPACES)] = True
+        gap = gaps[raw]
         before = np.ones(n + 1, bool)
         before[1:] = gap
         edge = off[(off < n)]
@@ -155,14 +157,16 @@ class Words:
         self.doc = np.searchsorted(off, self.start, "right") - 1
         self.first = np.searchsorted(self.start, off)  # of each document's first word
 
-    def hashes(self, fold: bool = False) -> np.ndarray:
-        """fold: A-Z as a-z."""
+    def hashes(self, fold: bool = False, cut: int | None = None) -> np.ndarray:
+        """fold: A-Z as a-z; cut: of so many leading bytes at most."""
         raw = self.raw
         if fold:
             raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
         padded = np.concatenate([raw, np.zeros(16, np.uint8)])
         view = np.ndarray((len(raw) + 8,), np.uint64, buffer=padded.data, strides=(1,))
         size = (self.end - self.start).astype(np.uint64)
+        if cut is not None:
+            size = np.minimum(size, np.uint64(cut))
         h = size * M2
         at, left, who = self.start, size.astype(np.int64), None
         while True:

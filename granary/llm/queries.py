@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash, substring_dedup, suffix_dedup
+from . import simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op6_simhash": simhash.op6_simhash,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
