@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, toxicity
+from . import html_extract, mixing, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict:
@@ -14,7 +14,9 @@ def queries() -> dict:
         "op5_sharding": sharding.op5_sharding,
         "op6_simhash": simhash.op6_simhash,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+        "op8_html_extract": html_extract.op8_html_extract,
         "op9_mixing": mixing.op9_mixing,
+        "op10_topk": topk.op10_topk,
     }
 
 

@@ -33,6 +33,8 @@ ROWS = "g_part long, g_a long, g_s long, g_d long, g_k long, g_at int, g_n int,
 FOUND = "g_k long, g_d long, g_at int, g_n int, g_kind int, g_a long, g_s long"
 OPEN, SEEN, SURE = 0, 1, 2  # states: undecided; repeated, a final span; undecided but seen twice
 SPAN, ASKS, WITNESS = 0, 1, 2  # kinds of findings
+#: Rows that are settled together before the shuffle.
+BATCH = 250_000
 INDEX = np.uint64((1 << 24) - 1)
 
 Segments = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -193,7 +195,7 @@ def segment_rows(docs: DataFrame, segments: Callable[[np.ndarray, np.ndarray], S
                 for to, x in zip(got, (a, s, ds[i + doc], ks[i + doc], at, n), strict=True):
                     to.append(x)
                 rows += len(a)
-                if rows > 500_000:
+                if rows > BATCH:
                     yield settle(*map(np.concatenate, got), earlier, hots)
                     got, rows = [[] for _ in range(6)], 0
             if rows:

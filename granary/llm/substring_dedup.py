@@ -76,7 +76,7 @@ def window_rows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                 for to, x in zip(got, (h[p], ds[i + doc][each], ks[i + doc][each], p - w.first[doc][each]), strict=True):
                     to.append(x)
                 rows += len(p)
-                if rows > 500_000:
+                if rows > R.BATCH:
                     yield out()
                     got, rows = [[] for _ in range(4)], 0
             if rows:

@@ -274,16 +274,16 @@ def cover(spans: list | None, width: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None = None, decode: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every byte covered by a `length`-byte string that starts twice or more goes.
 
-    Returns doc_id, carried, kept (bytes; not always whole characters), n_bytes, n_removed,
-    spans (start, stop: the maximal removed runs)."""
+    Returns doc_id, carried, kept (bytes; with `decode` a string, without the rests of characters
+    that were cut), n_bytes, n_removed, spans (start, stop: the maximal removed runs)."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), C.carried(docs, carry).alias("carried"), F.col(text).alias("g_text"), C.doc_key(F.col(doc_id), F.col(text)).alias("g_k"), C.sort_id(F.col(doc_id)).alias("g_d"))
     spans = repeated_spans(base, length)
     whole = base.join(spans, ["g_k", "g_d"], "left").select("doc_id", "carried", "g_text", "g_spans")
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
-    schema = T.StructType([whole.schema["doc_id"], whole.schema["carried"], T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span_type)])
+    schema = T.StructType([whole.schema["doc_id"], whole.schema["carried"], T.StructField("kept", T.StringType() if decode else T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span_type)])
 
     def work(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -304,7 +304,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None =
                 kept.append(b"".join(parts))
                 gone.append(sum(q - p for p, q in cuts))
                 where.append([{"start": p, "stop": q} for p, q in cuts])
-            cols = [b.column("doc_id"), b.column("carried"), pa.array(kept, pa.binary()), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(where, arrow.field("spans").type)]
+            cols = [b.column("doc_id"), b.column("carried"), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if decode else pa.array(kept, pa.binary()), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(where, arrow.field("spans").type)]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     return whole.mapInArrow(work, schema)
