@@ -166,16 +166,16 @@ def resolve(rows: DataFrame, earlier: bool, hot: list[int]) -> DataFrame:
 
 
 def frequent(docs: DataFrame, segments: Callable[[np.ndarray, np.ndarray], Segments], one_in: int = 64, least: int = 20) -> list[int]:
-    """Anchors that are frequent in one of `one_in` documents, at most four for each partition."""
+    """Anchors with many variants in one of `one_in` documents, at most four for each partition."""
 
     def work(batches):
         for b in batches:
             off, raw = C.texts(b.column("g_text"))
             for i, j in C.runs(off):
-                a = segments(raw[off[i] : off[j]], off[i : j + 1] - off[i])[0]
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64))], names=["g_a"])
+                a, s = segments(raw[off[i] : off[j]], off[i : j + 1] - off[i])[:2]
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64))], names=["g_a", "g_s"])
 
-    some = docs.where(F.pmod(F.xxhash64("g_k", F.lit(1)), F.lit(one_in)) == 0).select("g_text").mapInArrow(work, "g_a long")
+    some = docs.where(F.pmod(F.xxhash64("g_k", F.lit(1)), F.lit(one_in)) == 0).select("g_text").mapInArrow(work, "g_a long, g_s long").distinct()
     top = some.groupBy("g_a").count().where(F.col("count") >= least).orderBy(F.desc("count"), "g_a")
     return [r[0] for r in top.limit(4 * C.partitions(docs.sparkSession)).collect()]
 

@@ -3,9 +3,9 @@
 Anchors (see repeats.py) bring together, in one shard, every stretch of text that could hold a
 repeated string; copies of a stretch count as one.  Each shard sorts the suffixes of its
 stretches by Larsson-Sadakane refinement and gets common prefixes with their neighbours by
-Kasai's rule: a string is repeated if a neighbour shares `length` bytes.  A frequent anchor's
-stretches are spread over shards; each sends its distinct strings' digests, sorted, and the runs
-of the shards are merged by binary search.
+Kasai's rule: a string is repeated if a neighbour shares `length` bytes.  The stretches of an
+anchor with very many are spread over shards; each sends its distinct strings' digests in sorted
+runs, one for each bucket of digests, and the shards' runs are merged by binary search.
 
 Defined cases: a null text is an empty one; a null doc_id is an id like another, returned as
 null; equal rows are two documents; an empty table gives an empty result; a text under `length`
@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,11 @@ GRAM = 32
 SHARD_BYTES = 1 << 20
 STRETCH = "g_shard int, g_a long, g_s long, g_k long, g_d long, g_at int, g_n int, g_kind int, g_raw binary"
 MERGED = "g_k long, g_d long, g_at int, g_n int"
+SORTED = MERGED + ", g_bucket int, g_run binary"
+#: Variants of an anchor in the sample from which its stretches are spread.
+SPREAD_FROM = 100
+#: Digests of a bucket aimed at.
+RUN_ROWS = 1 << 20
 
 
 def byte_segments(length: int):
@@ -164,15 +169,25 @@ def shard_spans(rows: list[tuple], length: int, hot: set[int]):
     return spans, merge
 
 
+def merge_two(x: tuple, y: tuple) -> tuple:
+    """x, y: sorted digests, their second halves, and whether each is known as repeated."""
+    at = np.searchsorted(x[0], y[0])
+    near = np.minimum(at, max(len(x[0]) - 1, 0))
+    both = (x[0][near] == y[0]) & (x[1][near] == y[1]) if len(x[0]) else np.zeros(len(y[0]), bool)
+    known = x[2].copy()
+    known[near[both]] = True
+    new = ~both
+    return tuple(np.insert(p, at[new], q[new]) for p, q in zip((x[0], x[1], known), y, strict=True))
+
+
 def merged(runs: list[tuple]) -> tuple[np.ndarray, ...]:
-    """Spans of the strings that more than one run has, where their shards did not know.  runs:
-    sorted digests with what belongs to them; the first run has every digest, so each of the
-    others is looked up in it by binary search."""
-    base = runs[0]
-    hit = [np.zeros(len(base[0]), bool)] + [np.ones(len(r[0]), bool) for r in runs[1:]]
-    for r in runs[1:]:
-        hit[0][np.searchsorted(base[0], r[0])] = True
-    hit = [h & (r[6] == R.OPEN) for r, h in zip(runs, hit, strict=True)]
+    """Spans of the strings that more than one run has (or one knows as repeated), where their
+    shards did not know.  runs: of each shard, sorted digests with what belongs to them."""
+    level = [(r[0], r[1], r[6] == R.SURE) for r in runs]
+    while len(level) > 1:
+        level = [merge_two(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    digests, _, known = level[0]
+    hit = [known[np.searchsorted(digests, r[0])] & (r[6] == R.OPEN) for r in runs]
     return R.joined(*(np.concatenate([r[c][h] for r, h in zip(runs, hit, strict=True)]) for c in (3, 2, 4, 5)))
 
 
@@ -181,7 +196,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     spark = docs.sparkSession
     n = C.partitions(spark)
     segments = byte_segments(length)
-    hot = R.frequent(docs, segments)
+    hot = R.frequent(docs, segments, least=SPREAD_FROM)
     hots = set(hot)
     found = C.stage(R.resolve(R.segment_rows(docs, segments, False, hot), False, hot), "anchors")
     variants = found.where(F.col("g_kind") != R.SPAN)
@@ -206,15 +221,23 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 cut = [bytes(view[p:q]) for p, q in zip(i[y].tolist(), (i[y] + m[y] + length - 1).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(v[y]) for v in (shard, a, s, k, d, pos, m, kind)] + [pa.array(cut, pa.binary())], schema=schema)
 
+    strings = variants.where(F.col("g_a").isin(hot)).agg(F.sum("g_n")).first()[0] or 0 if hot else 0
+    buckets = np.uint64(max(1, -(-strings // RUN_ROWS)))
+
     def sort(batches):
         held: list[tuple] = []
-        schema = C.arrow_schema(R.FOUND)
+        schema = C.arrow_schema(SORTED)
 
         def out(rows):
-            sp, mg = shard_spans(rows, length, hots)
-            z = np.zeros(len(sp[0]), np.int64)
-            cols = [np.concatenate(p) for p in ((sp[0], mg[3]), (sp[1], mg[2]), (sp[2], mg[4]), (sp[3], mg[5]), (z + R.SPAN, mg[6].astype(np.int64) + 10), (z, mg[0].view(np.int64)), (z, mg[1].view(np.int64)))]
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i in (2, 3, 4) else c) for i, c in enumerate(cols)], schema=schema)
+            spans, merge = shard_spans(rows, length, hots)
+            o = np.lexsort((merge[1], merge[0]))
+            merge = [c[o] for c in merge]
+            bucket = (merge[0] % buckets).astype(np.int32)
+            which = np.unique(bucket)
+            packed = [np.stack([c[bucket == w].astype(np.int64, copy=False) if i > 1 else c[bucket == w].view(np.int64) for i, c in enumerate(merge)]).tobytes() for w in which]
+            n, m = len(spans[0]), len(which)
+            cols = [np.concatenate([c, np.zeros(m, np.int64)]) for c in spans] + [np.concatenate([np.full(n, -1), which])]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i > 1 else c) for i, c in enumerate(cols)] + [pa.array([None] * n + packed, pa.binary())], schema=schema)
 
         for b in batches:
             for r in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
@@ -225,41 +248,22 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield out(held)
 
-    stretches = docs.select("g_k", "g_d", "g_text").join(asked, ["g_k", "g_d"]).mapInArrow(fetch, STRETCH)
-    sorted_ = stretches.repartition(n, "g_shard").sortWithinPartitions("g_shard", "g_a", "g_s").mapInArrow(sort, R.FOUND)
-    both = found.where(F.col("g_kind") == R.SPAN).select("g_k", "g_d", "g_at", "g_n")
-    if not hot:
-        return R.spans_of(found.where(F.col("g_kind") == R.SPAN).unionByName(sorted_))
-    sorted_ = C.stage(sorted_, "suffixes")
-
-    def merge(batches):
-        # sorted by digest; g_run numbers a digest's rows, so the rows of one number are a run
-        schema = C.arrow_schema(MERGED)
-        held = None
-
-        def out(x):
-            o = np.lexsort((x[0], x[7]))
-            x = [c[o] for c in x]  # pieces never part a digest
-            cuts = np.append(np.flatnonzero(R.first_of(x[7])), len(x[7]))
-            sp = merged([tuple(c[i:j] for c in x[:7]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i > 1 else c) for i, c in enumerate(sp)], schema=schema)
-
-        for b in batches:
-            x = [C.ints(b.column(c)) for c in ("g_a", "g_s", "g_d", "g_k", "g_at", "g_n", "g_kind", "g_run")]
-            x[6] = x[6] - 10
-            x = x if held is None else [np.concatenate(p) for p in zip(held, x, strict=True)]
-            cut = int(np.flatnonzero(R.first_of(x[0]))[-1]) if len(x[0]) else 0
-            if cut:
-                yield out([c[:cut] for c in x])
-            held = [c[cut:] for c in x]
-        if held is not None and len(held[0]):
-            yield out(held)
+    def merge(table: pa.Table) -> pa.Table:
+        runs = []
+        for raw in table.column("g_run").to_pylist():
+            x = np.frombuffer(raw, np.int64).reshape(7, -1)
+            runs.append((x[0].view(np.uint64), x[1].view(np.uint64), *x[2:]))
+        spans = merged(runs)
+        return pa.Table.from_arrays([pa.array(c.astype(np.int32) if i > 1 else c) for i, c in enumerate(spans)], schema=C.arrow_schema(MERGED))
 
-    # a string's shards: as many runs as it needs, since a run holds a string once
-    digests = sorted_.where(F.col("g_kind") >= 10)
-    run = F.row_number().over(Window.partitionBy("g_a", "g_s").orderBy("g_d", "g_k", "g_at"))
-    cross = digests.withColumn("g_run", run).sortWithinPartitions("g_a", "g_s").mapInArrow(merge, MERGED)
-    spans = both.unionByName(sorted_.where(F.col("g_kind") == R.SPAN).select(*both.columns)).unionByName(cross)
+    stretches = docs.select("g_k", "g_d", "g_text").join(asked, ["g_k", "g_d"]).mapInArrow(fetch, STRETCH)
+    done = stretches.repartition(n, "g_shard").sortWithinPartitions("g_shard", "g_a", "g_s").mapInArrow(sort, SORTED)
+    columns = ["g_k", "g_d", "g_at", "g_n"]
+    spans = found.where(F.col("g_kind") == R.SPAN).select(*columns)
+    if hot:
+        done = C.stage(done, "suffixes")
+        spans = spans.unionByName(done.where("g_bucket >= 0").groupBy("g_bucket").applyInArrow(merge, MERGED))
+    spans = spans.unionByName(done.where("g_bucket < 0").select(*columns))
     return spans.groupBy("g_k", "g_d").agg(F.collect_list(F.struct("g_at", "g_n")).alias("g_spans"))
 
 
