@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from . import html_extract, mixing, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, topk, toxicity
+from .oracle import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def queries() -> dict:
@@ -18,7 +21,3 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_topk": topk.op10_topk,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
