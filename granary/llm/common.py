@@ -41,6 +41,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """Sees to it that a batch of texts stays small in a Python worker, unless the session says
+    how many rows a batch has."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, "1000")
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 SAMPLE = 2000
 #: Elements that hold no part of an article.
 NEVER = frozenset("script style noscript template head title nav footer aside form button select textarea iframe svg menu dialog object".split())
@@ -167,7 +169,7 @@ def learned(pages: DataFrame, sample: int = SAMPLE, column: str = "html") -> dic
 def extracted(pages: DataFrame, known: dict[str, float] | None = None) -> DataFrame:
     """page_id, url, text, n_chars."""
     known = learned(pages) if known is None else known
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    base = C.bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
 
     def work(batches):
         for b in batches:

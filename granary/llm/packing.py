@@ -70,7 +70,7 @@ class WordIds:
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, and ids if asked for."""
-    base = docs.select(C.doc_key(F.col(doc_id), F.col(text)).alias("g_k"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("g_text"))
+    base = C.bounded(docs).select(C.doc_key(F.col(doc_id), F.col(text)).alias("g_k"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("g_text"))
     end = np.array([END], "<u4").tobytes()
 
     def work(batches):

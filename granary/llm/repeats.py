@@ -185,11 +185,11 @@ def segment_rows(docs: DataFrame, segments: Callable[[np.ndarray, np.ndarray], S
     hots = np.array(hot, np.int64).view(np.uint64)
 
     def work(batches):
+        got: list[list[np.ndarray]] = [[] for _ in range(6)]
+        rows = 0
         for b in batches:
             off, raw = C.texts(b.column("g_text"))
             ks, ds = C.ints(b.column("g_k")), C.ints(b.column("g_d"))
-            got: list[list[np.ndarray]] = [[] for _ in range(6)]
-            rows = 0
             for i, j in C.runs(off):
                 a, s, doc, at, n = segments(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 for to, x in zip(got, (a, s, ds[i + doc], ks[i + doc], at, n), strict=True):
@@ -198,10 +198,10 @@ def segment_rows(docs: DataFrame, segments: Callable[[np.ndarray, np.ndarray], S
                 if rows > BATCH:
                     yield settle(*map(np.concatenate, got), earlier, hots)
                     got, rows = [[] for _ in range(6)], 0
-            if rows:
-                yield settle(*map(np.concatenate, got), earlier, hots)
+        if rows:
+            yield settle(*map(np.concatenate, got), earlier, hots)
 
-    return docs.select("g_k", "g_d", "g_text").mapInArrow(work, ROWS)
+    return C.bounded(docs).select("g_k", "g_d", "g_text").mapInArrow(work, ROWS)
 
 
 def spans_of(found: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def fingerprints(raw: np.ndarray, off: np.ndarray, shingle: int = 4) -> np.ndarr
 
 def fingerprinted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """g_k, g_d and g_fp of each row, staged."""
-    base = docs.select(C.doc_key(F.col(doc_id), F.col(text)).alias("g_k"), C.sort_id(F.col(doc_id)).alias("g_d"), F.col(text).alias("g_text"))
+    base = C.bounded(docs).select(C.doc_key(F.col(doc_id), F.col(text)).alias("g_k"), C.sort_id(F.col(doc_id)).alias("g_d"), F.col(text).alias("g_text"))
 
     def work(batches):
         schema = C.arrow_schema("g_k long, g_d long, g_fp long")

@@ -53,18 +53,18 @@ def window_rows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 
     def work(batches):
         none = np.zeros(0, np.uint64)
+        got, rows = [[] for _ in range(4)], 0
+
+        def out():
+            a, d, k, p = (np.concatenate(x) for x in got)
+            return R.settle(a, np.zeros(len(a), np.uint64), d, k, p, np.ones(len(a), np.int64), True, none)
+
         for b in batches:
             off, raw = C.texts(b.column("g_text"))
             lists = b.column("g_all")
             at = lists.offsets.to_numpy()
             pos, m = (C.ints(lists.values.field(i)) for i in range(2))
             ks, ds = C.ints(b.column("g_k")), C.ints(b.column("g_d"))
-            got, rows = [[] for _ in range(4)], 0
-
-            def out():
-                a, d, k, p = (np.concatenate(x) for x in got)
-                return R.settle(a, np.zeros(len(a), np.uint64), d, k, p, np.ones(len(a), np.int64), True, none)
-
             for i, j in C.runs(off):
                 w = C.Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 h = C.grams(w.hashes(), length)
@@ -79,8 +79,8 @@ def window_rows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                 if rows > R.BATCH:
                     yield out()
                     got, rows = [[] for _ in range(4)], 0
-            if rows:
-                yield out()
+        if rows:
+            yield out()
 
     return docs.select("g_k", "g_d", "g_text").join(asked, ["g_k", "g_d"]).mapInArrow(work, R.ROWS)
 

@@ -106,7 +106,7 @@ def fit(rows: DataFrame, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
     """g_row (a struct of the columns to keep) and score of each row."""
     at, w = model
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("g_row"), F.col(text).alias("g_text"))
+    base = C.bounded(docs).select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("g_row"), F.col(text).alias("g_text"))
     out = T.StructType([base.schema["g_row"], T.StructField("score", T.DoubleType())])
 
     def work(batches):
