@@ -22,10 +22,7 @@ CHUNK = 1 << 19
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/granary-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/granary-checkpoints"  # unset as in tests
     return found.rstrip("/")
 
 
