@@ -106,9 +106,10 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         t = thresholds(merged(fine, by) if len(by) < 2 else fine, by)
         return t.select(*[F.col(c).alias(f"{name}_{c}") for c in by], F.struct("docs", *limits).alias(name))
 
-    pair, lang, whole = level(["lang", "source"], "a"), level(["lang"], "b"), level([], "c")
-    known = pair.join(lang, pair["a_lang"].eqNullSafe(lang["b_lang"]), "left").crossJoin(F.broadcast(whole))  # whole is one row
-    rule = F.when(F.col("a.docs") >= LEAST, F.col("a")).when(F.col("b.docs") >= LEAST, F.col("b")).otherwise(F.col("c"))
+    pair, lang, whole = level(["lang", "source"], "a"), level(["lang"], "b"), level([], "c").first()["c"]  # one row
+    everyone = F.struct(*[F.lit(whole[x]).cast("long").alias(x) for x in ("docs", *limits)])
+    known = pair.join(lang, pair["a_lang"].eqNullSafe(lang["b_lang"]), "left")
+    rule = F.when(F.col("a.docs") >= LEAST, F.col("a")).when(F.col("b.docs") >= LEAST, F.col("b")).otherwise(everyone)
     known = known.select("a_lang", "a_source", rule.alias("t"))
     found = rated.join(known, rated["lang"].eqNullSafe(F.col("a_lang")) & rated["source"].eqNullSafe(F.col("a_source")), "left")
     fine_ = F.lit(True)
