@@ -31,8 +31,8 @@ from . import common as C
 
 WINDOW = 2048
 END = 1
-#: Words kept in a task's table of ids.
-MEMO = 200_000
+#: Words in a worker's table of ids, which has as many old ones at most beside it.
+MEMO = 500_000
 PIECES = "g_k long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -50,22 +50,31 @@ def tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit numbers."""
+    """Ids of texts as little-endian unsigned 32-bit numbers.  The table of words stays with the
+    worker: when it is full, it becomes the old one, from which words in use move back."""
 
     def __init__(self, path: str):
-        self.tok, self.memo = tokenizer(path), {}
+        self.tok, self.tables = tokenizer(path), C.cache().setdefault(("words", path), [{}, {}])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({w for ws in words for w in ws if w not in memo})
+        if len(self.tables[0]) > MEMO:
+            self.tables[:] = [{}, self.tables[0]]
+        memo, old = self.tables
+        new = []
+        for w in set().union(*words):
+            if w not in memo:
+                known = old.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    memo[w] = known
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            for w, e in zip(part, self.tok.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([memo[w] for w in ws]) for ws in words]
+        find = memo.__getitem__
+        return [b"".join(map(find, ws)) for ws in words]
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
