@@ -65,6 +65,15 @@ def real_id(column: Column) -> Column:
     return F.when(column != NO_ID, column)
 
 
+def about(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """About `rows` rows of `df` (all, if there are fewer), chosen by a hash of `by`: no row moves,
+    and a rerun chooses the same.  Rows with equal `by` are chosen together."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), *[F.col(c) for c in by]), F.lit(1_000_000_007)) < rows * 1_000_000_007 // n)
+
+
 def carried(df: DataFrame, keep: list[str] | None) -> Column:
     """The columns that the caller wants back, as one struct, so that no name can clash."""
     names = keep or []

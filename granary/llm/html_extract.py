@@ -4,7 +4,7 @@ A page is read as a sequence of tokens: words, by the element they stand in, and
 score positive and tags negative; one linear scan finds the contiguous region of greatest sum,
 and the text of that region is the page's, without the elements that never are content.  The
 scores are log odds of a token inside and outside the content of labelled pages: those, of a
-sample of SAMPLE pages at most, whose markup names its one article.  Without any, the prior
+sample of about SAMPLE pages, whose markup names its one article.  Without any, the prior
 scores stand.
 
 Defined cases: a null or empty page, or one without words, gives the empty text; a null page_id
@@ -148,7 +148,7 @@ def extract(page: str | None, known: dict[str, float]) -> str:
 
 
 def learned(pages: DataFrame, sample: int = SAMPLE, column: str = "html") -> dict[str, float]:
-    """Scores from the labelled pages among `sample` pages, those of least hash."""
+    """Scores from the labelled pages among about `sample` pages."""
 
     def work(batches):
         for b in batches:
@@ -161,8 +161,8 @@ def learned(pages: DataFrame, sample: int = SAMPLE, column: str = "html") -> dic
                         seen.setdefault(name, [0, 0])[0 if at[0] <= i < at[1] else 1] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["name", "n_in", "n_out"])
 
-    some = pages.where(F.col(column).isNotNull()).select(F.col(column).alias("html"), F.xxhash64(column).alias("h")).orderBy("h").limit(sample)
-    got = some.select("html").mapInArrow(work, "name string, n_in long, n_out long").groupBy("name").agg(F.sum("n_in").alias("i"), F.sum("n_out").alias("o"))
+    some = C.about(pages.where(F.col(column).isNotNull()), sample, "page_id", "url", column)
+    got = C.bounded(some).select(F.col(column).alias("html")).mapInArrow(work, "name string, n_in long, n_out long").groupBy("name").agg(F.sum("n_in").alias("i"), F.sum("n_out").alias("o"))
     return weights({r["name"]: (r["i"], r["o"]) for r in got.orderBy("name").collect()})  # names of the sample's tags
 
 

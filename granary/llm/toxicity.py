@@ -2,10 +2,9 @@
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z.  Features are
 present or not: single words, their stems of 4 to 7 bytes, pairs of neighbours, pairs with one
-word between.  The model is
-learned in one task from at most SAMPLE labelled rows (those with the least hashes of doc_id),
-with a rate for each coordinate and L1 sparsity; what leaves that task is the list of non-zero
-weights, 2**BITS at most, which every scoring task gets.
+word between.  The model is learned in one task from about SAMPLE labelled rows (chosen by a
+hash of doc_id), with a rate for each coordinate and L1 sparsity; what leaves that task is the
+list of non-zero weights, 2**BITS at most, which every scoring task gets.
 
 Defined cases: a null or empty text scores by the bias alone; a null doc_id is never held out
 and never labelled; no labels at all give a score of one half; repeated label rows count each;
@@ -130,10 +129,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """The model of the labelled rows that are not held out, `sample` at most."""
+    """The model of the labelled rows that are not held out, of about `sample` of them."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("double").alias("g_label"))
-    some = known.withColumn("g_order", F.xxhash64("doc_id")).orderBy("g_order", "g_label").limit(sample)
-    return fit(docs.select("doc_id", F.col("text").alias("g_text")).join(F.broadcast(some), "doc_id"))  # at most `sample` small rows
+    some = C.about(known, sample, "doc_id", "g_label").withColumn("g_order", F.xxhash64("doc_id"))
+    return fit(docs.select("doc_id", F.col("text").alias("g_text")).join(F.broadcast(some), "doc_id"))  # about `sample` small rows
 
 
 def clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
