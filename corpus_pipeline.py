@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import mixing, packing, simhash, suffix_dedup, toxicity
+from granary.llm import jaccard, mixing, packing, suffix_dedup, toxicity
 from granary.llm.common import WORD, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,8 +21,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group of near-duplicates stays."""
-    return simhash.one_each(docs).select(*COLUMNS)
+    """One document, that of least id, of each group of near-duplicates stays: texts whose sets
+    of five-word shingles have a Jaccard similarity of 0.8 or more, directly or by a chain."""
+    return jaccard.one_each(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

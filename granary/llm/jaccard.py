@@ -1,0 +1,147 @@
+"""Near-duplicates by the Jaccard similarity of their sets of five-word shingles.
+
+Texts of equal sets count once.  Candidates share one of BANDS keys, each made of ROWS least
+hashes of the set: of two sets with a similarity of 0.8 a band agrees with a chance of 0.8^4, so
+a pair is missed with one of (1 - 0.8^4)^48 = 1e-11.  Each candidate's similarity is then counted
+on the texts.  A band's sets are first held against its least one; what that leaves in different
+components is compared pair by pair, so a large group of copies costs no square of its size.
+
+Defined cases: letters A-Z count as a-z; a text under five words is one shingle; texts without
+words equal each other; a null doc_id sorts after every other id; other columns play no part.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common as C
+from . import repeats as R
+from .components import components
+
+SHINGLE = 5
+#: The least similarity of near-duplicates, as a fraction.
+LEAST = (4, 5)
+BANDS, ROWS = 48, 4
+_fixed = np.random.default_rng(42)
+XOR = _fixed.integers(0, 2**64, BANDS * ROWS, np.uint64)
+TIMES = _fixed.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def shingles(raw: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of each different shingle, by document and hash."""
+    w = C.Words(raw, off)
+    words = w.hashes(fold=True)
+    g = C.grams(words, n)
+    whole = w.doc[: len(g)] == w.doc[n - 1 :]
+    h, doc = [g[whole]], [w.doc[: len(g)][whole]]
+    size = np.diff(w.first)
+    for k in range(1, n):
+        d = np.flatnonzero(size == k)
+        x = words[w.first[d]].copy()
+        for i in range(1, k):
+            x = x * C.M1 + words[w.first[d] + i]
+        h.append(C.mix(x ^ np.uint64(k)))
+        doc.append(d)
+    h, doc = np.concatenate(h), np.concatenate(doc)
+    o = np.lexsort((h, doc))
+    h, doc = h[o], doc[o]
+    new = R.first_of(doc, h)
+    return h[new], doc[new]
+
+
+def signatures(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest of the set, its size and the keys of its bands, for each document."""
+    docs = len(off) - 1
+    digest, bands = np.zeros(docs, np.uint64), np.zeros((docs, BANDS), np.uint64)
+    h, doc = shingles(raw, off)
+    size = np.bincount(doc, minlength=docs)
+    some = np.flatnonzero(size)
+    if len(some):
+        first = np.searchsorted(doc, some)
+        digest[some] = C.mix(np.add.reduceat(C.mix(h * C.M1), first) + size[some].astype(np.uint64) * C.M2)
+        for b in range(BANDS):
+            key = np.full(len(some), b, np.uint64)
+            for i in range(b * ROWS, (b + 1) * ROWS):
+                key = C.mix((key ^ np.minimum.reduceat((h ^ XOR[i]) * TIMES[i], first)) * C.M1)
+            bands[some, b] = key
+    return digest, size, bands
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """docs: g_k, g_d, g_text.  g_k, g_d, g_s (digest), g_n (size) and g_b (bands) of each row."""
+
+    def work(batches):
+        for b in batches:
+            off, raw = C.texts(b.column("g_text"))
+            got = [signatures(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in C.runs(off)]
+            if not got:
+                continue
+            digest, size, bands = (np.concatenate(x) for x in zip(*got, strict=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("g_k"), b.column("g_d"), pa.array(digest.view(np.int64)), pa.array(size.astype(np.int64)), lists], names=["g_k", "g_d", "g_s", "g_n", "g_b"])
+
+    return C.bounded(docs).mapInArrow(work, "g_k long, g_d long, g_s long, g_n long, g_b array<long>")
+
+
+def alike(off_u: np.ndarray, raw_u: np.ndarray, off_v: np.ndarray, raw_v: np.ndarray) -> np.ndarray:
+    """Whether each two texts are near-duplicates."""
+    n = len(off_u) - 1
+    hu, du = shingles(raw_u, off_u)
+    hv, dv = shingles(raw_v, off_v)
+    h, d = np.concatenate([hu, hv]), np.concatenate([du, dv])
+    o = np.lexsort((h, d))
+    both = np.bincount(d[o][~R.first_of(d[o], h[o])], minlength=n)
+    either = np.bincount(d, minlength=n) - both
+    return LEAST[1] * both >= LEAST[0] * either
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs u, v of digests whose texts are near-duplicates, staged."""
+    pairs = C.stage(pairs.distinct(), "pairs")
+    asked = pairs.select(F.col("u").alias("g_s")).unionByName(pairs.select(F.col("v").alias("g_s"))).distinct()
+    named = nodes.select("g_s", "g_k", "g_d").join(asked, "g_s")
+    texts = C.stage(docs.join(named, ["g_k", "g_d"]).select("g_s", "g_text").dropDuplicates(["g_s"]), "texts")
+    sides = pairs.join(texts.select(F.col("g_s").alias("u"), F.col("g_text").alias("g_u")), "u").join(texts.select(F.col("g_s").alias("v"), F.col("g_text").alias("g_v")), "v")
+
+    def work(batches):
+        for b in batches:
+            (off_u, raw_u), (off_v, raw_v) = C.texts(b.column("g_u")), C.texts(b.column("g_v"))
+            hit = [alike(off_u[i : j + 1] - off_u[i], raw_u[off_u[i] : off_u[j]], off_v[i : j + 1] - off_v[i], raw_v[off_v[i] : off_v[j]]) for i, j in C.runs(off_u + off_v)]
+            if hit:
+                keep = pa.array(np.concatenate(hit))
+                yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
+
+    return C.stage(C.bounded(sides.select("u", "v", "g_u", "g_v")).mapInArrow(work, "u long, v long"), "links")
+
+
+def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v: links enough to connect near-duplicates.  nodes: g_s, g_k, g_d, g_n, g_b."""
+    rows = nodes.where("g_n > 0").select("g_s", "g_n", F.explode("g_b").alias("b"))
+    several = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("g_s").alias("p")).where("n > 1").drop("n")
+    bands = C.stage(rows.join(several, "b"), "bands")
+    fits = lambda x, y: F.least(x, y) * LEAST[1] >= F.greatest(x, y) * LEAST[0]
+    first = verified(bands.where("g_s <> p").select(F.col("g_s").alias("u"), F.col("p").alias("v")), docs, nodes)
+    known = bands.join(components(first).withColumnRenamed("u", "g_s"), "g_s", "left").withColumn("root", F.coalesce("root", "g_s"))
+    mixed = known.groupBy("b").agg(F.min(F.struct("g_s", "root")).alias("x"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("b", F.col("x.root").alias("main"))
+    open_ = C.stage(known.join(mixed, "b"), "open")
+    # across components, in each band: those outside the least set's component with all others;
+    # what was held against the least set itself is settled
+    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
+    across = x.join(y, F.col("x.b") == F.col("y.b")).where("x.root <> y.root AND x.g_s <> x.p AND y.g_s <> y.p AND (y.root = y.main OR x.g_s < y.g_s)").where(fits(F.col("x.g_n"), F.col("y.g_n")))
+    return first.unionByName(verified(across.select(F.col("x.g_s").alias("u"), F.col("y.g_s").alias("v")), docs, nodes))
+
+
+def one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` with one document, the least id, of each group of near-duplicates."""
+    keys = [C.doc_key(F.col(doc_id), F.col(text)).alias("g_k"), C.sort_id(F.col(doc_id)).alias("g_d")]
+    base = docs.select(*keys, F.col(text).alias("g_text"))
+    prints = C.stage(signed(base), "signatures")
+    nodes = C.stage(prints.groupBy("g_s").agg(F.min(F.struct("g_d", "g_k", "g_n", "g_b")).alias("x")).select("g_s", "x.*"), "sets")
+    roots = components(links(base, nodes)).withColumnRenamed("u", "g_s")
+    found = nodes.select("g_s", "g_d", "g_k").join(roots, "g_s", "left").withColumn("root", F.coalesce("root", "g_s"))
+    stay = found.groupBy("root").agg(F.min(F.struct("g_d", "g_k")).alias("x")).select("x.g_d", "x.g_k")
+    keyed = docs.select(F.struct("*").alias("g_row"), *keys)
+    return keyed.join(stay, ["g_k", "g_d"]).dropDuplicates(["g_k", "g_d"]).select("g_row.*")

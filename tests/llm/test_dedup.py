@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from granary.llm import components, repeats, simhash, substring_dedup, suffix_dedup
+from granary.llm import components, jaccard, repeats, simhash, substring_dedup, suffix_dedup
 from granary.llm.common import WORD
 
 SPACE_WORD = re.compile(WORD.encode())
@@ -140,3 +140,53 @@ def test_components(spark):
 @pytest.mark.parametrize("run", [suffix_dedup.remove_repeats, substring_dedup.remove_repeats, simhash.classes, simhash.one_each])
 def test_empty(nothing, run):
     assert run(nothing).collect() == []
+
+
+def shingle_set(text):
+    w = [x.lower() for x in SPACE_WORD.findall((text or "").encode())]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_groups(rows):
+    """The least id of each group of texts at 0.8 or more, pair by pair."""
+    sets = [shingle_set(t) for _, t in rows]
+    label = [2**63 - 1 if d is None else d for d, _ in rows]
+    near = [[j for j, y in enumerate(sets) if 5 * len(x & y) >= 4 * len(x | y)] for x in sets]
+    while True:
+        new = [min(label[j] for j in js) for js in near]
+        if new == label:
+            return label
+        label = new
+
+
+def test_jaccard(docs, corpus):
+    want = near_groups([(r[0], r[1]) for r in corpus])
+    kept = jaccard.one_each(docs).collect()
+    assert sorted(2**63 - 1 if r.doc_id is None else r.doc_id for r in kept) == sorted(set(want)) and kept[0].kept == "7"
+
+
+def test_pipeline_edited_copies(spark):
+    """Copies with words replaced, just over and just under 0.8, and chains of them."""
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(4):
+            if i % 2:  # a chain: each an edit of the copy before
+                words = list(words)
+            else:
+                words = rows[5 * i][1].split()
+            for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0.01, 0.035))), replace=False):
+                words[at] = f"new{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    want = near_groups(rows)
+    assert 40 < len(set(want)) < 160
+    made = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, made, "").collect()) == sorted(set(want))
+
+
+def test_jaccard_empty(nothing):
+    assert jaccard.one_each(nothing).collect() == []
