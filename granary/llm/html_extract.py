@@ -5,7 +5,8 @@ score positive and tags negative; one linear scan finds the contiguous region of
 and the text of that region is the page's, without the elements that never are content.  The
 scores are log odds of a token inside and outside the content of labelled pages: those, of a
 sample of about SAMPLE pages, whose markup names its one article.  Without any, the prior
-scores stand.
+scores stand.  An element that holds an article or main, or most of the page's words, is never
+left out for its name; the scores decide there.
 
 Defined cases: a null or empty page, or one without words, gives the empty text; a null page_id
 or url stays null; equal rows give equal texts; an element that is never closed hides nothing;
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,20 +29,34 @@ from . import common as C
 SAMPLE = 2000
 #: Elements that hold no part of an article.
 NEVER = frozenset("script style noscript template head title nav footer aside form button select textarea iframe svg menu dialog object".split())
-#: Names in class, id or role that mark what is no part of an article.
+#: Those of them whose text a reader never sees, and those that mean what is beside an article.
+UNSEEN = frozenset("script style template head title select textarea iframe svg".split())
+BESIDE = frozenset("nav footer aside menu dialog".split())
+#: Whole names in class, id or role that mark what is no part of an article.
 MARKS = frozenset("ad ads advert adverts advertisement sponsored sponsor promo promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices banner popup modal newsletter subscribe share sharing social related comments comment contentinfo complementary search disclaimer".split())
 #: Elements within a line of text.
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|title|textarea)\b([^>]*)>(.*?)(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
-MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+MARKED = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD_SCORE, TAG_SCORE, NEVER_SCORE = 3.0, -1.0, -4.0
 
 Token = tuple[str, str, str]  # kind (open, close, text), element's name, text
 
 
-def marked(attributes: str) -> bool:
-    return any(not MARKS.isdisjoint(re.split(r"[^a-z]+", "".join(m).lower())) for m in MARKED.findall(attributes))
+#: Elements whose id counts; on headings, sections and the like it is made from a heading's text.
+NAMED = frozenset("div ul ol table".split())
+
+
+def marked(name: str, attributes: str) -> bool:
+    """Whether a whole name of the element's class or role, or its id, is in MARKS."""
+    found: dict[str, list[str]] = {}
+    for kind, *value in MARKED.findall(attributes):
+        found.setdefault(kind.lower(), "".join(value).lower().split())
+    names = found.get("class", []) + found.get("role", [])
+    if name in NAMED and "section" not in names:
+        names = names + found.get("id", [])
+    return not MARKS.isdisjoint(names)
 
 
 def tokens(page: str) -> list[Token]:
@@ -61,19 +77,30 @@ def tokens(page: str) -> list[Token]:
             found.append((kind, name, m[6] or ""))
     if at < len(page):
         found.append(("text", "", page[at:]))
+    words = list(accumulate((len(x[2].split()) if x[0] == "text" else 0 for x in found), initial=0))
+    mains = list(accumulate((x[0] == "open" and x[1] in ("article", "main") for x in found), initial=0))
+
+    def held(name: str, i: int, j: int) -> bool:
+        """Whether the element found[i:j] has what must not be left out."""
+        if name in UNSEEN:
+            return False
+        if mains[j] > mains[i]:
+            return True
+        return 2 * (words[j] - words[i]) > words[-1] and not (name in BESIDE and mains[-1])
+
     # where each hidden element ends: at the closing tag that matches
     out: list[Token] = []
     i, stack, articles = 0, [], 0
     while i < len(found):
         kind, name, rest = found[i]
-        hides = kind == "open" and name not in VOID and name not in ("html", "body", "article", "main") and (name in NEVER or (name == "header" and not articles) or marked(rest))
+        hides = kind == "open" and name not in VOID and name not in ("html", "body", "article", "main") and (name in NEVER or (name == "header" and not articles) or marked(name, rest))
         if hides and not rest.rstrip().endswith("/"):
             depth, j = 1, i + 1
             while j < len(found) and depth:
                 if found[j][1] == name:
                     depth += 1 if found[j][0] == "open" else -1
                 j += 1
-            if not depth:
+            if not depth and not held(name, i, j):
                 out += [("open", "!" + name, ""), ("close", "!" + name, "")]
                 i = j
                 continue

@@ -157,3 +157,26 @@ def test_region_brute():
 @pytest.mark.parametrize("text", ["<p a='>'>x</p>", "<a b=\"<\">y</a>", "a < b & c"])
 def test_tokens_keep_words(text):
     assert html_extract.content(html_extract.tokens(text))
+
+
+BODY = "<h1>Title</h1><p>" + "words of the article " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("wrap", ['<div class="content-sidebar-wrap">{}</div>', '<div class="has-sidebar">{}</div>', '<div class="sidebar">{}</div>', "<form>{}</form>", '<div id="search"><main>{}</main></div>', "<aside>{}</aside>"])
+def test_html_wrapped(wrap):
+    nav = "<nav>menu here</nav>"
+    want = "Title " + "words of the article " * 19 + "words of the article"
+    assert html_extract.extract(f"<body>{nav}" + wrap.format(f"<article>{BODY}</article>") + "</body>", {}) == want
+    assert html_extract.extract(f"<body>{nav}" + wrap.format(BODY) + "</body>", {}) == want
+    if "aside" not in wrap:
+        assert html_extract.extract(f"<body>{nav}<article>" + wrap.format(BODY) + "</article></body>", {}) == want
+
+
+@pytest.mark.parametrize("part", ['<section id="related-work"><p>kept</p></section>', '<h2 id="search-algorithms">kept</h2>', '<h2 id="comments">kept</h2>', '<section id="related"><p>kept</p></section>', '<div class="section" id="search"><p>kept</p></div>', '<div class="social-history">kept</div>', '<p data-id="ad">kept</p>'])
+def test_html_names_in_article(part):
+    assert "kept" in html_extract.extract(f"<body><article>{BODY}{part}{BODY}</article></body>", {})
+
+
+@pytest.mark.parametrize("part", ['<div class="box ad">gone</div>', '<div id="comments"><p>gone</p></div>', '<div role="search">gone</div>', "<ul class=related><li>gone</ul>", "<form>gone</form>"])
+def test_html_marks_in_article(part):
+    assert "gone" not in html_extract.extract(f"<body><article>{BODY}{part}{BODY}</article></body>", {})
