@@ -35,7 +35,13 @@ def word_segments(length: int):
         words = w.hashes()
         h = C.grams(words, GRAM)
         valid = w.doc[: len(w.doc) - length + 1] == w.doc[length - 1 :]
-        first, count, anchor = R.own(h, valid, length - GRAM + 1)
+        # a place has few bits in own(), so a long document goes in tiles that overlap
+        parts = []
+        for t in range(0, len(valid), C.CHUNK):
+            parts.append(R.own(h[t : t + C.CHUNK + length - GRAM], valid[t : t + C.CHUNK], length - GRAM + 1))
+            parts[-1][0][:] += t
+            parts[-1][2][:] += t
+        first, count, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
         s = count.astype(np.uint64)
         size = count + length - 1
         for k in range(int(size.max()) if len(size) else 0):

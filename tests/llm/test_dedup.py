@@ -83,6 +83,27 @@ def test_long_document_in_tiles(monkeypatch):
     assert windows(plain) == windows(tiled) == set(range(2801))
 
 
+def test_long_document_of_words(monkeypatch):
+    """More words than a place has bits for."""
+    from granary.llm import common
+
+    rng = np.random.default_rng(2)
+    words = [f"w{x}" for x in rng.integers(0, 500, 3000)]
+    words[2000:2600] = words[100:700]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    off = np.array([0, len(raw)])
+
+    def anchors(x):
+        return {int(at) + i: int(a) for a, at, n in zip(x[0], x[3], x[4], strict=True) for i in range(n)}
+
+    plain = anchors(substring_dedup.word_segments(13)(raw, off))
+    monkeypatch.setattr(common, "CHUNK", 500)
+    monkeypatch.setattr(repeats, "INDEX", np.uint64(1023))
+    tiled = anchors(substring_dedup.word_segments(13)(raw, off))
+    assert plain == tiled and sorted(tiled) == list(range(2988))
+    assert all(tiled[2000 + i] == tiled[100 + i] for i in range(588))
+
+
 def test_substring_dedup(docs, corpus, routing):
     texts = [(2**63 - 1 if r[0] is None else r[0], SPACE_WORD.findall((r[1] or "").encode())) for r in corpus]
     least = {}
