@@ -134,7 +134,7 @@ def ints(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -172,8 +172,9 @@ class Words:
         self.doc = np.searchsorted(off, self.start, "right") - 1
         self.first = np.searchsorted(self.start, off)  # of each document's first word
 
-    def hashes(self, fold: bool = False, cut: int | None = None) -> np.ndarray:
-        """fold: A-Z as a-z; cut: of so many leading bytes at most."""
+    def hashes(self, fold: bool = False, cut: int | None = None, times: np.uint64 = M1) -> np.ndarray:
+        """fold: A-Z as a-z; cut: of so many leading bytes at most; times: an odd factor, of which
+        another makes another hash."""
         raw = self.raw
         if fold:
             raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
@@ -188,23 +189,23 @@ class Words:
             cut = np.clip(8 - left, 0, 7).astype(np.uint64) * np.uint64(8)
             got = ((view[at] << cut) >> cut)
             if who is None:
-                h = mix((h ^ got) * M1)
+                h = mix((h ^ got) * times)
             else:
-                h[who] = mix((h[who] ^ got) * M1)
+                h[who] = mix((h[who] ^ got) * times)
             more = np.flatnonzero(left > 8)
             if not len(more):
                 return h
             at, left, who = at[more] + 8, left[more] - 8, more if who is None else who[more]
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of n consecutive hashes, at each start."""
+def grams(h: np.ndarray, n: int, times: np.uint64 = M1) -> np.ndarray:
+    """Hashes of n consecutive hashes, at each start; times: as in Words.hashes."""
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
     x = h[:m].copy()
     for k in range(1, n):
-        x *= M1
+        x *= times
         x += h[k : k + m]
     return mix(x)
 

@@ -55,15 +55,15 @@ def word_segments(length: int):
 
 
 def window_rows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """The windows of the variants, as rows of R.ROWS keyed by their own content."""
+    """The windows of the variants, as rows of R.ROWS keyed by two hashes of their own content."""
 
     def work(batches):
         none = np.zeros(0, np.uint64)
-        got, rows = [[] for _ in range(4)], 0
+        got, rows = [[] for _ in range(5)], 0
 
         def out():
-            a, d, k, p = (np.concatenate(x) for x in got)
-            return R.settle(a, np.zeros(len(a), np.uint64), d, k, p, np.ones(len(a), np.int64), True, none)
+            a, s, d, k, p = (np.concatenate(x) for x in got)
+            return R.settle(a, s, d, k, p, np.ones(len(a), np.int64), True, none)
 
         for b in batches:
             off, raw = C.texts(b.column("g_text"))
@@ -73,18 +73,18 @@ def window_rows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
             ks, ds = C.ints(b.column("g_k")), C.ints(b.column("g_d"))
             for i, j in C.runs(off):
                 w = C.Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                h = C.grams(w.hashes(), length)
+                h, second = C.grams(w.hashes(), length), C.grams(w.hashes(times=C.M3), length, C.M3)
                 n = m[at[i] : at[j]]
                 doc = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
                 begin = w.first[doc] + pos[at[i] : at[j]]
                 each = np.repeat(np.arange(len(n)), n)
                 p = np.repeat(begin, n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                for to, x in zip(got, (h[p], ds[i + doc][each], ks[i + doc][each], p - w.first[doc][each]), strict=True):
+                for to, x in zip(got, (h[p], second[p], ds[i + doc][each], ks[i + doc][each], p - w.first[doc][each]), strict=True):
                     to.append(x)
                 rows += len(p)
                 if rows > R.BATCH:
                     yield out()
-                    got, rows = [[] for _ in range(4)], 0
+                    got, rows = [[] for _ in range(5)], 0
         if rows:
             yield out()
 

@@ -104,6 +104,17 @@ def test_long_document_of_words(monkeypatch):
     assert all(tiled[2000 + i] == tiled[100 + i] for i in range(588))
 
 
+def test_windows_have_two_hashes(spark):
+    """Each of the two parts the windows of a text, and neither follows from the other."""
+    texts = [" ".join(f"{c}{i}" for i in range(100)) for c in "abc"]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate([*texts, texts[0]])], "g_k long, g_d long, g_text string").repartition(4, "g_k")
+    asked = docs.selectExpr("g_k", "g_d", "array(struct(0 AS g_at, 88 AS g_n)) AS g_all")
+    rows = substring_dedup.window_rows(docs, asked, 13).where("g_state = 0").collect()
+    pairs = {(r.g_a, r.g_s) for r in rows}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({s for _, s in pairs}) == 3 * 88
+    assert len({a ^ s for a, s in pairs}) == 3 * 88
+
+
 def test_substring_dedup(docs, corpus, routing):
     texts = [(2**63 - 1 if r[0] is None else r[0], SPACE_WORD.findall((r[1] or "").encode())) for r in corpus]
     least = {}
