@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import uuid
 
 import numpy as np
@@ -21,23 +20,38 @@ CHUNK = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/granary-checkpoints"  # unset as in tests
+    """The folder that driver and executors share, as the session names it; in the warehouse, which
+    they share too, where it names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/granary-staging"
     return found.rstrip("/")
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver's JVM ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, and a lost executor
     costs a re-read.  The table goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.option("compression", "zstd").parquet(path)
+    deleted_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """As stage(), dealt by the keys once: joins on them move the other side only."""
+    spark = df.sparkSession
+    n, table = partitions(spark), f"granary_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/granary/{table}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", path).saveAsTable(table)
+    deleted_at_exit(spark, path)
+    return spark.table(table)
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """Sees to it that a batch of texts stays small in a Python worker, unless the session says
     how many rows a batch has."""
@@ -103,11 +117,6 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(","))])
 
 
-def cache() -> dict:
-    """Lives as long as the Python worker; for things that are dear to load."""
-    return sys.__dict__.setdefault("_granary_cache", {})
-
-
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and UTF-8 bytes of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -178,24 +187,31 @@ class Words:
         raw = self.raw
         if fold:
             raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-        padded = np.concatenate([raw, np.zeros(16, np.uint8)])
-        view = np.ndarray((len(raw) + 8,), np.uint64, buffer=padded.data, strides=(1,))
-        size = (self.end - self.start).astype(np.uint64)
-        if cut is not None:
-            size = np.minimum(size, np.uint64(cut))
-        h = size * M2
-        at, left, who = self.start, size.astype(np.int64), None
-        while True:
-            cut = np.clip(8 - left, 0, 7).astype(np.uint64) * np.uint64(8)
-            got = ((view[at] << cut) >> cut)
-            if who is None:
-                h = mix((h ^ got) * times)
-            else:
-                h[who] = mix((h[who] ^ got) * times)
-            more = np.flatnonzero(left > 8)
-            if not len(more):
-                return h
-            at, left, who = at[more] + 8, left[more] - 8, more if who is None else who[more]
+        return hashed(raw, self.start, self.end, cut, times)[0]
+
+
+def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray, cut: int | None = None, times: np.uint64 = M1) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of many byte ranges, and their first eight bytes; cut, times: as in
+    Words.hashes."""
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    view = np.ndarray((len(raw) + 8,), np.uint64, buffer=padded.data, strides=(1,))
+    size = (end - start).astype(np.uint64)
+    if cut is not None:
+        size = np.minimum(size, np.uint64(cut))
+    h = size * M2
+    at, left, who, head = start, size.astype(np.int64), None, None
+    while True:
+        drop = np.clip(8 - left, 0, 7).astype(np.uint64) * np.uint64(8)
+        got = (view[at] << drop) >> drop
+        if who is None:
+            head = got
+            h = mix((h ^ got) * times)
+        else:
+            h[who] = mix((h[who] ^ got) * times)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return h, head
+        at, left, who = at[more] + 8, left[more] - 8, more if who is None else who[more]
 
 
 def grams(h: np.ndarray, n: int, times: np.uint64 = M1) -> np.ndarray:

@@ -34,7 +34,7 @@ FOUND = "g_k long, g_d long, g_at int, g_n int, g_kind int, g_a long, g_s long"
 OPEN, SEEN, SURE = 0, 1, 2  # states: undecided; repeated, a final span; undecided but seen twice
 SPAN, ASKS, WITNESS = 0, 1, 2  # kinds of findings
 #: Rows that are settled together before the shuffle.
-BATCH = 250_000
+BATCH = 150_000
 INDEX = np.uint64((1 << 24) - 1)
 
 Segments = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -180,9 +180,11 @@ def frequent(docs: DataFrame, segments: Callable[[np.ndarray, np.ndarray], Segme
     return [r[0] for r in top.limit(4 * C.partitions(docs.sparkSession)).collect()]
 
 
-def segment_rows(docs: DataFrame, segments: Callable[[np.ndarray, np.ndarray], Segments], earlier: bool, hot: list[int]) -> DataFrame:
-    """docs: g_k, g_d, g_text."""
+def segment_rows(docs: DataFrame, segments: Callable[..., Segments], earlier: bool, hot: list[int]) -> DataFrame:
+    """docs: g_k, g_d, g_text, and g_all if only some windows of theirs count: lists of (first
+    window, number)."""
     hots = np.array(hot, np.int64).view(np.uint64)
+    some = "g_all" in docs.columns
 
     def work(batches):
         got: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -190,8 +192,16 @@ def segment_rows(docs: DataFrame, segments: Callable[[np.ndarray, np.ndarray], S
         for b in batches:
             off, raw = C.texts(b.column("g_text"))
             ks, ds = C.ints(b.column("g_k")), C.ints(b.column("g_d"))
+            if some:
+                lists = b.column("g_all")
+                upto = lists.offsets.to_numpy()
+                begin, many = (C.ints(lists.values.field(i)).astype(np.int64) for i in range(2))
             for i, j in C.runs(off):
-                a, s, doc, at, n = segments(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                ask = ()
+                if some:
+                    x = slice(upto[i], upto[j])
+                    ask = (np.repeat(np.arange(j - i), np.diff(upto[i : j + 1])), begin[x], many[x])
+                a, s, doc, at, n = segments(raw[off[i] : off[j]], off[i : j + 1] - off[i], *ask)
                 for to, x in zip(got, (a, s, ds[i + doc], ks[i + doc], at, n), strict=True):
                     to.append(x)
                 rows += len(a)
@@ -201,7 +211,13 @@ def segment_rows(docs: DataFrame, segments: Callable[[np.ndarray, np.ndarray], S
         if rows:
             yield settle(*map(np.concatenate, got), earlier, hots)
 
-    return C.bounded(docs).select("g_k", "g_d", "g_text").mapInArrow(work, ROWS)
+    return C.bounded(docs).select("g_k", "g_d", "g_text", *(["g_all"] if some else [])).mapInArrow(work, ROWS)
+
+
+def within(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """docs: bucketed by g_k, g_d.  The texts that `asked` names, with what it says of them; only
+    `asked` moves, and each task holds its part of it."""
+    return docs.join(asked.hint("shuffle_hash"), ["g_k", "g_d"])
 
 
 def spans_of(found: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ Anchors (see repeats.py) bring together, in one shard, every stretch of text tha
 repeated string; copies of a stretch count as one.  Each shard sorts the suffixes of its
 stretches by Larsson-Sadakane refinement and gets common prefixes with their neighbours by
 Kasai's rule: a string is repeated if a neighbour shares `length` bytes.  The stretches of an
-anchor with very many are spread over shards; each sends its distinct strings' digests in sorted
-runs, one for each bucket of digests, and the shards' runs are merged by binary search.
+anchor that has SPREAD_FROM different ones or more are spread over shards; each shard sends its
+distinct strings' digests in sorted runs, one for each bucket of digests, and the shards' runs are
+merged by binary search.
 
 Defined cases: a null text is an empty one; a null doc_id is an id like another, returned as
 null; equal rows are two documents; an empty table gives an empty result; a text under `length`
@@ -26,13 +27,13 @@ from . import repeats as R
 
 GRAM = 32
 SHARD_BYTES = 1 << 20
-STRETCH = "g_shard int, g_a long, g_s long, g_k long, g_d long, g_at int, g_n int, g_kind int, g_raw binary"
+STRETCH = "g_shard int, g_a long, g_s long, g_k long, g_d long, g_at int, g_n int, g_kind int, g_open boolean, g_raw binary"
 MERGED = "g_k long, g_d long, g_at int, g_n int"
 SORTED = MERGED + ", g_bucket int, g_run binary"
-#: Variants of an anchor in the sample from which its stretches are spread.
-SPREAD_FROM = 100
+#: Variants of an anchor from which they are spread over shards.
+SPREAD_FROM = 64
 #: Digests of a bucket aimed at.
-RUN_ROWS = 1 << 20
+RUN_ROWS = 1 << 18
 
 
 def byte_segments(length: int):
@@ -78,7 +79,7 @@ def suffix_array(raw: np.ndarray) -> np.ndarray:
     n = len(raw)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), ">u8", buffer=padded.data, strides=(1,)).astype(np.uint64)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     key = key[sa]
     new = R.first_of(key)
     rank, h = np.empty(n, np.int64), 8
@@ -91,7 +92,7 @@ def suffix_array(raw: np.ndarray) -> np.ndarray:
         pos = sa[act]
         after = np.where(pos + h < n, rank[np.minimum(pos + h, n - 1)] + 1, 0)
         both = rank[pos] * (n + 1) + after
-        o = np.argsort(both, kind="stable")
+        o = np.argsort(both)
         both, pos = both[o], pos[o]
         fresh = R.first_of(both)
         sa[act] = pos
@@ -133,11 +134,9 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes:
     return plcp[sa]
 
 
-def repeated_windows(stretches: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretch, place in it, and number of the class of equal strings, for each window."""
-    sizes = np.array([len(x) for x in stretches], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(b"".join(stretches), np.uint8)
+def repeated_windows(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretch, place in it, and number of the class of equal strings, for each window of the
+    stretches that `raw` has one after another."""
     sa = suffix_array(raw)
     lcp = common_prefixes(raw, sa, starts, sizes, length)
     group = np.cumsum(lcp < length)
@@ -147,23 +146,33 @@ def repeated_windows(stretches: list[bytes], length: int) -> tuple[np.ndarray, n
     return who[whole], at[whole], group[whole]
 
 
-def shard_spans(rows: list[tuple], length: int, hot: set[int]):
-    """rows of STRETCH, one shard.  Spans found in it, and the distinct strings of stretches
-    with a frequent anchor, for the merge."""
-    who, at, group = repeated_windows([r[8] for r in rows], length)
+def digests(raw: np.ndarray, at: np.ndarray, length: int, times: np.uint64) -> np.ndarray:
+    """64-bit hashes of the strings of `length` bytes (8 or more) at some places."""
+    view = np.ndarray((len(raw) - 7,), np.uint64, buffer=raw.data, strides=(1,))
+    h = np.full(len(at), length, np.uint64) * times
+    for k in [*range(0, length - 7, 8), length - 8]:
+        h = C.mix((h ^ view[at + k]) * times)
+    return h
+
+
+def shard_spans(rows: list[tuple], length: int):
+    """rows of STRETCH, one shard.  Spans found in it, and the distinct strings of the stretches
+    that other shards may share, for the merge."""
+    raw = np.frombuffer(b"".join([r[9] for r in rows]) + bytes(8), np.uint8)
+    sizes = np.array([len(r[9]) for r in rows], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    who, at, group = repeated_windows(raw[:-8], starts, sizes, length)
     sure = np.array([r[7] == R.WITNESS for r in rows], bool)[who]
     size = np.bincount(group)
     twice = (size > 1) | (np.bincount(group, weights=sure) > 0)
     cols = [np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5)]
     hit = twice[group] & ~sure
     spans = R.joined(cols[0][who[hit]], cols[1][who[hit]], cols[2][who[hit]] + at[hit], np.ones(int(hit.sum()), np.int64))
-    open_ = np.array([r[1] in hot for r in rows], bool)[who]
+    open_ = np.array([r[8] for r in rows], bool)[who]
     _, first = np.unique(np.where(open_, group, -1), return_index=True)
     first = first[open_[first]]
     w, p = who[first], at[first]
-    raws = [rows[i][8][j : j + length] for i, j in zip(w.tolist(), p.tolist(), strict=True)]
-    a = np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in raws), np.uint64, len(raws))
-    s = np.fromiter((xxhash.xxh3_64_intdigest(x, 2) for x in raws), np.uint64, len(raws))
+    a, s = (digests(raw, starts[w] + p, length, x) for x in (C.M1, C.M3))
     state = np.where(twice[group[first]], R.SURE, R.OPEN).astype(np.int32)
     merge = (a, s, cols[1][w], cols[0][w], cols[2][w] + p, np.ones(len(w), np.int64), state)
     return spans, merge
@@ -192,17 +201,19 @@ def merged(runs: list[tuple]) -> tuple[np.ndarray, ...]:
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """docs: g_k, g_d, g_text.  One row a document that has repeated windows."""
+    """docs: g_k, g_d, g_text, bucketed.  One row a document that has repeated windows."""
     spark = docs.sparkSession
     n = C.partitions(spark)
     segments = byte_segments(length)
-    hot = R.frequent(docs, segments, least=SPREAD_FROM)
-    hots = set(hot)
+    hot = R.frequent(docs, segments)
     found = C.stage(R.resolve(R.segment_rows(docs, segments, False, hot), False, hot), "anchors")
     variants = found.where(F.col("g_kind") != R.SPAN)
-    shards = max(n, variants.count() * (length + length // 2) // SHARD_BYTES)
-    spread = F.when(F.col("g_a").isin(hot), F.xxhash64("g_a", "g_s")).otherwise(F.xxhash64("g_a")) if hot else F.xxhash64("g_a")
-    asked = variants.select("g_k", "g_d", F.struct(F.pmod(spread, F.lit(shards)).cast("int").alias("shard"), "g_a", "g_s", "g_at", "g_n", "g_kind").alias("g_one")).groupBy("g_k", "g_d").agg(F.collect_list("g_one").alias("g_all"))
+    many = variants.groupBy("g_a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SPREAD_FROM).select("g_a", F.lit(True).alias("g_open"))
+    dealt = C.stage(variants.join(many, "g_a", "left").withColumn("g_open", F.coalesce("g_open", F.lit(False))), "variants")
+    total = dealt.agg(F.sum(F.col("g_n") + (length - 1)), F.sum(F.when(F.col("g_open"), F.col("g_n")))).first()
+    shards, buckets = max(n, (total[0] or 0) // SHARD_BYTES), np.uint64(max(1, -(-(total[1] or 0) // RUN_ROWS)))
+    spread = F.when(F.col("g_open"), F.xxhash64("g_a", "g_s")).otherwise(F.xxhash64("g_a"))
+    asked = dealt.select("g_k", "g_d", F.struct(F.pmod(spread, F.lit(shards)).cast("int").alias("shard"), "g_a", "g_s", "g_at", "g_n", "g_kind", "g_open").alias("g_one")).groupBy("g_k", "g_d").agg(F.collect_list("g_one").alias("g_all"))
 
     def fetch(batches):
         schema = C.arrow_schema(STRETCH)
@@ -212,24 +223,21 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             at = lists.offsets.to_numpy()
             one = lists.values
             doc = np.repeat(np.arange(len(lists)), np.diff(at))
-            shard, a, s, pos, m, kind = (C.ints(one.field(i))[at[0] : at[-1]] for i in range(6))
+            shard, a, s, pos, m, kind, spread_ = (C.ints(one.field(i))[at[0] : at[-1]] for i in range(7))
             k, d = C.ints(b.column("g_k"))[doc], C.ints(b.column("g_d"))[doc]
             i = off[doc] + pos
             view = memoryview(raw)
-            for x in range(0, len(doc), 20_000):
-                y = slice(x, x + 20_000)
+            for x in range(0, len(doc), 5_000):
+                y = slice(x, x + 5_000)
                 cut = [bytes(view[p:q]) for p, q in zip(i[y].tolist(), (i[y] + m[y] + length - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(v[y]) for v in (shard, a, s, k, d, pos, m, kind)] + [pa.array(cut, pa.binary())], schema=schema)
-
-    strings = variants.where(F.col("g_a").isin(hot)).agg(F.sum("g_n")).first()[0] or 0 if hot else 0
-    buckets = np.uint64(max(1, -(-strings // RUN_ROWS)))
+                yield pa.RecordBatch.from_arrays([pa.array(v[y]) for v in (shard, a, s, k, d, pos, m, kind, spread_)] + [pa.array(cut, pa.binary())], schema=schema)
 
     def sort(batches):
         held: list[tuple] = []
         schema = C.arrow_schema(SORTED)
 
         def out(rows):
-            spans, merge = shard_spans(rows, length, hots)
+            spans, merge = shard_spans(rows, length)
             o = np.lexsort((merge[1], merge[0]))
             merge = [c[o] for c in merge]
             bucket = (merge[0] % buckets).astype(np.int32)
@@ -240,7 +248,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i > 1 else c) for i, c in enumerate(cols)] + [pa.array([None] * n + packed, pa.binary())], schema=schema)
 
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
                 if held and held[-1][0] != r[0]:
                     yield out(held)
                     held = []
@@ -256,14 +264,11 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         spans = merged(runs)
         return pa.Table.from_arrays([pa.array(c.astype(np.int32) if i > 1 else c) for i, c in enumerate(spans)], schema=C.arrow_schema(MERGED))
 
-    stretches = docs.select("g_k", "g_d", "g_text").join(asked, ["g_k", "g_d"]).mapInArrow(fetch, STRETCH)
-    done = stretches.repartition(n, "g_shard").sortWithinPartitions("g_shard", "g_a", "g_s").mapInArrow(sort, SORTED)
+    stretches = R.within(docs.select("g_k", "g_d", "g_text"), asked).mapInArrow(fetch, STRETCH)
+    done = C.stage(stretches.repartition(n, "g_shard").sortWithinPartitions("g_shard", "g_a", "g_s").mapInArrow(sort, SORTED), "suffixes")
     columns = ["g_k", "g_d", "g_at", "g_n"]
-    spans = found.where(F.col("g_kind") == R.SPAN).select(*columns)
-    if hot:
-        done = C.stage(done, "suffixes")
-        spans = spans.unionByName(done.where("g_bucket >= 0").groupBy("g_bucket").applyInArrow(merge, MERGED))
-    spans = spans.unionByName(done.where("g_bucket < 0").select(*columns))
+    across = done.where("g_bucket >= 0").groupBy("g_bucket").applyInArrow(merge, MERGED)
+    spans = found.where(F.col("g_kind") == R.SPAN).select(*columns).unionByName(across).unionByName(done.where("g_bucket < 0").select(*columns))
     return spans.groupBy("g_k", "g_d").agg(F.collect_list(F.struct("g_at", "g_n")).alias("g_spans"))
 
 
@@ -284,8 +289,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None =
     Returns doc_id, carried, kept (bytes; with `decode` a string, without the rests of characters
     that were cut), n_bytes, n_removed, spans (start, stop: the maximal removed runs)."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), C.carried(docs, carry).alias("carried"), F.col(text).alias("g_text"), C.doc_key(F.col(doc_id), F.col(text)).alias("g_k"), C.sort_id(F.col(doc_id)).alias("g_d"))
-    spans = repeated_spans(base, length)
-    whole = base.join(spans, ["g_k", "g_d"], "left").select("doc_id", "carried", "g_text", "g_spans")
+    base = C.bucketed(base, ["g_k", "g_d"], "texts")
+    whole = base.join(repeated_spans(base, length).hint("shuffle_hash"), ["g_k", "g_d"], "left").select("doc_id", "carried", "g_text", "g_spans")
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     schema = T.StructType([whole.schema["doc_id"], whole.schema["carried"], T.StructField("kept", T.StringType() if decode else T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span_type)])
 
