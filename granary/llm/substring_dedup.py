@@ -1,10 +1,13 @@
 """Removal of repeated word strings by level-wise doubling.
 
-Level one looks at strings of four words: each window of `length` words is represented by the
-one of its four-word strings with the least hash (see repeats.py), so a twelfth of the places or
-so suffices.  Strings found once end there.  The survivors alone are extended, by doubling cut
-at the window's length, as their whole segment first (equal segments are settled by it) and,
-where segments of one string differ, window for window.
+The levels are strings of 4, 8, ... words, and at last windows of `length` words.  On a level,
+each window that is still undecided is represented by the one of its strings with the least hash
+(see repeats.py), so that equal windows have equal strings at equal places, and a part of the
+places suffices.  Windows whose string is found once end there.  Stretches of windows that share a
+string and are equal as a whole are settled.  What is left, where stretches around one string
+differ, is extended to twice the length, until nothing is left.
+
+Texts are dealt by document once; from level to level only the places of survivors move.
 
 Defined cases: a null text has no words; a null doc_id sorts after every other id and is
 returned as null; of equal rows or equal ids none is smaller, so they keep each other's words;
@@ -13,6 +16,8 @@ texts under `length` words keep all; other columns play no part and come back in
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,79 +31,65 @@ from .suffix_dedup import cover
 GRAM = 4
 
 
-def word_segments(length: int):
-    def segments(raw: np.ndarray, off: np.ndarray) -> R.Segments:
+def levels(length: int) -> list[int]:
+    """Words of the strings of each level: doubled, and cut at the window's length."""
+    out = [min(GRAM, length)]
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length))
+    return out
+
+
+def word_segments(length: int, gram: int = GRAM):
+    """Segments by the least of their `gram`-word strings; gram = length: every window by itself."""
+
+    def segments(raw: np.ndarray, off: np.ndarray, who: np.ndarray | None = None, begin: np.ndarray | None = None, many: np.ndarray | None = None) -> R.Segments:
+        """who, begin, many: documents, first windows and numbers of the windows that count."""
         w = C.Words(raw, off)
         if len(w.start) < length:
             none = np.zeros(0, np.int64)
             return none.view(np.uint64), none.view(np.uint64), none, none, none
-        words = w.hashes()
-        h = C.grams(words, GRAM)
+        words, others = w.hashes(), w.hashes(times=C.M3)
+        h = C.grams(words, gram)
         valid = w.doc[: len(w.doc) - length + 1] == w.doc[length - 1 :]
+        if who is not None:
+            step = np.zeros(len(w.start) + 1, np.int32)
+            np.add.at(step, w.first[who] + begin, 1)
+            np.add.at(step, w.first[who] + begin + many, -1)
+            valid = valid & (np.cumsum(step)[: len(valid)] > 0)
         # a place has few bits in own(), so a long document goes in tiles that overlap
         parts = []
         for t in range(0, len(valid), C.CHUNK):
-            parts.append(R.own(h[t : t + C.CHUNK + length - GRAM], valid[t : t + C.CHUNK], length - GRAM + 1))
+            parts.append(R.own(h[t : t + C.CHUNK + length - gram], valid[t : t + C.CHUNK], length - gram + 1))
             parts[-1][0][:] += t
             parts[-1][2][:] += t
         first, count, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
         s = count.astype(np.uint64)
         size = count + length - 1
         for k in range(int(size.max()) if len(size) else 0):
-            live = size > k
-            s[live] = s[live] * C.M1 + words[first[live] + k]
-            s ^= s >> np.uint64(29)
+            live = np.flatnonzero(size > k) if k >= length else slice(None)
+            x = s[live] * C.M1 + others[first[live] + k]
+            x ^= x >> np.uint64(29)
+            s[live] = x
         doc = w.doc[first]
         return h[anchor], C.mix(s), doc, first - w.first[doc], count
 
     return segments
 
 
-def window_rows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """The windows of the variants, as rows of R.ROWS keyed by two hashes of their own content."""
-
-    def work(batches):
-        none = np.zeros(0, np.uint64)
-        got, rows = [[] for _ in range(5)], 0
-
-        def out():
-            a, s, d, k, p = (np.concatenate(x) for x in got)
-            return R.settle(a, s, d, k, p, np.ones(len(a), np.int64), True, none)
-
-        for b in batches:
-            off, raw = C.texts(b.column("g_text"))
-            lists = b.column("g_all")
-            at = lists.offsets.to_numpy()
-            pos, m = (C.ints(lists.values.field(i)) for i in range(2))
-            ks, ds = C.ints(b.column("g_k")), C.ints(b.column("g_d"))
-            for i, j in C.runs(off):
-                w = C.Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                h, second = C.grams(w.hashes(), length), C.grams(w.hashes(times=C.M3), length, C.M3)
-                n = m[at[i] : at[j]]
-                doc = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
-                begin = w.first[doc] + pos[at[i] : at[j]]
-                each = np.repeat(np.arange(len(n)), n)
-                p = np.repeat(begin, n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                for to, x in zip(got, (h[p], second[p], ds[i + doc][each], ks[i + doc][each], p - w.first[doc][each]), strict=True):
-                    to.append(x)
-                rows += len(p)
-                if rows > R.BATCH:
-                    yield out()
-                    got, rows = [[] for _ in range(5)], 0
-        if rows:
-            yield out()
-
-    return docs.select("g_k", "g_d", "g_text").join(asked, ["g_k", "g_d"]).mapInArrow(work, R.ROWS)
-
-
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """docs: g_k, g_d, g_text.  The spans of windows that a smaller document has."""
-    segments = word_segments(length)
-    hot = R.frequent(docs, segments)
-    found = C.stage(R.resolve(R.segment_rows(docs, segments, True, hot), True, hot), "words")
-    asked = found.where(F.col("g_kind") == R.ASKS).groupBy("g_k", "g_d").agg(F.collect_list(F.struct("g_at", "g_n")).alias("g_all"))
-    extended = R.resolve(window_rows(docs, asked, length), True, [])
-    return R.spans_of(found.where(F.col("g_kind") == R.SPAN).unionByName(extended))
+    """docs: g_k, g_d, g_text, bucketed.  The spans of windows that a smaller document has."""
+    spans, asked = [], None
+    for gram in levels(length):
+        segments = word_segments(length, gram)
+        hot = R.frequent(docs, segments) if asked is None else []
+        rows = R.segment_rows(docs.select("g_k", "g_d", "g_text") if asked is None else R.within(docs.select("g_k", "g_d", "g_text"), asked), segments, True, hot)
+        found = C.stage(R.resolve(rows, True, hot), f"words-{gram}")
+        spans.append(found.where(F.col("g_kind") == R.SPAN))
+        left = found.where(F.col("g_kind") == R.ASKS)
+        if gram == length or left.isEmpty():
+            break
+        asked = left.groupBy("g_k", "g_d").agg(F.collect_list(F.struct("g_at", "g_n")).alias("g_all"))
+    return R.spans_of(reduce(DataFrame.unionByName, spans))
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, carry: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,7 +98,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, carry: list[str] | None =
     Returns doc_id, carried, kept (the words left, joined by one space), n_words, n_removed,
     spans (first word, word after the last: the maximal removed runs)."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), C.carried(docs, carry).alias("carried"), F.col(text).alias("g_text"), C.doc_key(F.col(doc_id), F.col(text)).alias("g_k"), C.sort_id(F.col(doc_id)).alias("g_d"))
-    whole = base.join(repeated_spans(base, length), ["g_k", "g_d"], "left").select("doc_id", "carried", "g_text", "g_spans")
+    base = C.bucketed(base, ["g_k", "g_d"], "texts")
+    whole = base.join(repeated_spans(base, length).hint("shuffle_hash"), ["g_k", "g_d"], "left").select("doc_id", "carried", "g_text", "g_spans")
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     schema = T.StructType([whole.schema["doc_id"], whole.schema["carried"], T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span_type)])
 
