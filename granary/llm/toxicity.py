@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z.  Features are
 present or not: single words, their stems of 4 to 7 bytes, pairs of neighbours, pairs with one
-word between.  The model is learned in one task from about SAMPLE labelled rows (chosen by a
-hash of doc_id), with a rate for each coordinate and L1 sparsity; what leaves that task is the
+word between.  The model is learned in one task from the features of about SAMPLE labelled rows
+(chosen by a hash of doc_id; all documents are searched for them in parallel), with a rate for each coordinate and L1 sparsity; what leaves that task is the
 list of non-zero weights, 2**BITS at most, which every scoring task gets.
 
 Defined cases: a null or empty text scores by the bias alone; a null doc_id is never held out
@@ -13,6 +13,8 @@ other columns play no part.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -78,27 +80,44 @@ def ftrl(docs: list[np.ndarray], labels: np.ndarray, epochs: int, alpha: float,
     return weights(np.arange(BIAS + 1))
 
 
+def distinct(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """The coordinates of each document, each once, and the bias."""
+    doc, at = features(raw, off)
+    both = np.unique(doc << BITS | at)
+    cut = np.searchsorted(both >> BITS, np.arange(len(off)))
+    return [np.append(both[p:q] & (BIAS - 1), BIAS).astype(np.int32) for p, q in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def fit(rows: DataFrame, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, np.ndarray]:
-    """rows: g_text, g_label and g_order (the order of learning), SAMPLE rows or so.  The non-zero coordinates and weights."""
+    """rows: g_text, g_label and g_order (the order of learning), SAMPLE rows or so.  The non-zero
+    coordinates and weights.  Coordinates are made where the texts are; only they go to the task
+    that learns."""
 
-    def work(batches):
-        docs, labels, orders = [], [], []
+    def seen(batches):
         for b in batches:
             off, raw = C.texts(b.column("g_text"))
+            found = [x for i, j in C.runs(off) for x in distinct(raw[off[i] : off[j]], off[i : j + 1] - off[i])]
+            upto = np.cumsum([0, *map(len, found)])
+            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+            yield pa.RecordBatch.from_arrays([lists, b.column("g_label"), b.column("g_order")], names=["g_at", "g_label", "g_order"])
+
+    def learn(batches):
+        docs, labels, orders = [], [], []
+        for b in batches:
+            lists = b.column("g_at")
+            upto, flat = lists.offsets.to_numpy(), C.ints(lists.values)
+            docs += [flat[p:q] for p, q in zip(upto[:-1], upto[1:], strict=True)]
             labels.append(C.ints(b.column("g_label")))
             orders.append(C.ints(b.column("g_order")))
-            for i, j in C.runs(off):
-                doc, at = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                both = np.unique(doc << BITS | at)
-                cut = np.searchsorted(both >> BITS, np.arange(j - i + 1))
-                docs += [np.append(both[p:q] & (BIAS - 1), BIAS) for p, q in zip(cut[:-1], cut[1:], strict=True)]
         if docs:
-            o = np.argsort(np.concatenate(orders), kind="stable")
-            w = ftrl([docs[i] for i in o], np.concatenate(labels)[o], epochs, alpha, beta, l1, l2)
+            orders, labels = np.concatenate(orders), np.concatenate(labels)
+            o = np.lexsort(([zlib.crc32(d.tobytes()) for d in docs], labels, orders))
+            w = ftrl([docs[i] for i in o], labels[o], epochs, alpha, beta, l1, l2)
             i = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(w[i])], names=["i", "w"])
 
-    got = rows.select("g_text", "g_label", "g_order").coalesce(1).mapInArrow(work, "i long, w double").toArrow()
+    made = C.bounded(rows).select("g_text", "g_label", "g_order").mapInArrow(seen, "g_at array<int>, g_label double, g_order long")
+    got = made.repartition(1).mapInArrow(learn, "i long, w double").toArrow()
     return got.column(0).to_numpy(), got.column(1).to_numpy()
 
 
