@@ -39,40 +39,48 @@ SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER
 
 
 def quality() -> str:
-    names = list(quality_rules.SLACK)
-    spread, least = quality_rules.SPREAD, quality_rules.LEAST
+    rules = quality_rules
+    low = lambda b, k: f"(({b} - greatest({b} // {k} - 1, 0) * {k})::bigint << greatest({b} // {k} - 1, 0)::int)"
+    high = lambda b, k: f"({low(b, k)} + (1::bigint << greatest({b} // {k} - 1, 0)::int) - 1)"
+    to_bin = lambda v, bits: f"(greatest(len(bin({v})) - {bits}, 0) * {1 << (bits - 1)} + ({v} >> greatest(len(bin({v})) - {bits}, 0)::int))::int"
 
     def level(name: str, by: list[str]) -> str:
-        keys = ", ".join(by)
-        comma = f"{keys}, " if by else ""
-        part = f"PARTITION BY {comma}rate"
-        limits = ", ".join(
-            f"max(CASE WHEN rate = '{r}' THEN u3 + {spread} * (u3 - u2) + {hi} END) AS hi_{r}, max(CASE WHEN rate = '{r}' THEN {'NULL' if lo is None else f'u1 - {spread} * (u2 - u1) - {lo}'} END) AS lo_{r}"
-            for r, (hi, lo) in quality_rules.SLACK.items()
-        )
-        value = lambda q: f"((q{q} - greatest(q{q} // 16 - 1, 0) * 16 + 1)::bigint << greatest(q{q} // 16 - 1, 0)) - 1 AS u{q}"
-        marks = ", ".join(f"min(CASE WHEN seen * 4 >= total * {q} THEN bin END) AS q{q}" for q in (1, 2, 3))
-        return f"""{name} AS (SELECT {comma}max(docs) AS docs, {limits} FROM (SELECT *, {value(1)}, {value(2)}, {value(3)} FROM (
-            SELECT {comma}rate, max(total) AS docs, {marks} FROM (
-            SELECT *, sum(n) OVER ({part}) AS total, sum(n) OVER ({part} ORDER BY bin) AS seen FROM (SELECT {comma}rate, bin, sum(n) AS n FROM sketch GROUP BY {comma}rate, bin))
-            GROUP BY {comma}rate)) {'GROUP BY ' + keys if by else ''})"""
+        keys = "".join(f"{c}, " for c in by)
+        same = "".join(f" AND y.{c} IS NOT DISTINCT FROM x.{c}" for c in by)
+        found = []
+        for r in rules.GAP:
+            k, bits, gap = 1 << (rules.BITS[r] - 1), rules.BITS[r], float(rules.GAP[r])
+            far = to_bin(f"floor(({high('bin', k)} + 1) * {gap})::bigint", bits)
+            found.append((f"high_{r}", r, f"SELECT *, {far} AS far FROM {name}1 WHERE rate = '{r}' AND seen * 4 >= total * 3", "y.bin > x.bin AND y.bin < x.far", high("min(bin)", k)))
+            if r in rules.BOTH:
+                far = to_bin(f"floor({low('bin', k)} / {gap})::bigint", bits)
+                found.append((f"low_{r}", r, f"SELECT *, {far} AS far FROM {name}1 WHERE rate = '{r}' AND (seen - n) * 4 <= total", "y.bin < x.bin AND y.bin > x.far", low("max(bin)", k)))
+        parts = [
+            f"SELECT {keys}'{limit}' AS name, max(total) AS docs, {value} AS edge FROM ({rows}) x WHERE (SELECT coalesce(sum(y.n), 0) FROM {name}1 y WHERE y.rate = '{r}'{same} AND {there}) * {rules.STRAYS} <= total {'GROUP BY ' + ', '.join(by) if by else ''}"
+            for limit, r, rows, there, value in found
+        ]
+        edges = ", ".join(f"max(edge) FILTER (name = '{x}') AS {x}" for x in rules.LIMITS)
+        part = f"PARTITION BY {keys}rate"
+        return f"""{name}1 AS (SELECT *, sum(n) OVER ({part})::bigint AS total, sum(n) OVER ({part} ORDER BY bin)::bigint AS seen FROM (SELECT {keys}rate, bin, sum(n)::bigint AS n FROM sketch GROUP BY {keys}rate, bin)),
+{name} AS (SELECT {keys}max(docs) AS docs, {edges} FROM ({' UNION ALL '.join(parts)}) {'GROUP BY ' + ', '.join(by) if by else ''})"""
 
-    long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, (greatest(len(bin({r})) - 5, 0) * 16 + ({r} >> greatest(len(bin({r})) - 5, 0)))::int AS bin FROM rated" for r in names)
-    pick = lambda x: f"CASE WHEN a.docs >= {least} THEN a.{x} WHEN b.docs >= {least} THEN b.{x} ELSE c.{x} END"
-    fine = " AND ".join(f"{r} <= {pick('hi_' + r)} AND coalesce({r} >= {pick('lo_' + r)}, true)" for r in names)
+    long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {to_bin(r, rules.BITS[r])} AS bin FROM rated WHERE NOT base_failed" for r in rules.GAP)
+    pick = lambda x: f"CASE WHEN a.docs >= {rules.LEAST} THEN a.{x} WHEN b.docs >= {rules.LEAST} THEN b.{x} ELSE c.{x} END"
+    fine = " AND ".join([f"{r} <= {pick('high_' + r)}" for r in rules.GAP] + [f"{r} >= {pick('low_' + r)}" for r in rules.BOTH])
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM documents),
 w AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM d)),
 p AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, i + unnest([0, 1, 2]) AS i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM w) WHERE c > 1) GROUP BY r),
 m AS (SELECT d.doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-      len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words FROM d LEFT JOIN p ON d.r = p.r),
-rated AS (SELECT *, 100 * word_chars // greatest(n_words, 1) AS r_chars, 1000 * n_symbols // greatest(n_words, 1) AS r_symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS r_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS r_repeats FROM m),
+      len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words FROM d LEFT JOIN p ON d.r = p.r),
+rated AS (SELECT *, 100 * word_chars // greatest(n_words, 1) AS r_chars, 1000 * n_symbols // greatest(n_words, 1) AS r_symbols, 1000 * n_dup_lines // greatest(n_words, 1) AS r_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS r_repeats,
+      n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 sketch AS (SELECT lang, source, rate, bin, count(*) AS n FROM ({long}) GROUP BY ALL),
 {level('a', ['lang', 'source'])}, {level('b', ['lang'])}, {level('c', [])},
-j AS (SELECT rated.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {fine} AS fine
+j AS (SELECT rated.*, {fine} AS fine
       FROM rated LEFT JOIN a ON a.lang IS NOT DISTINCT FROM rated.lang AND a.source IS NOT DISTINCT FROM rated.source LEFT JOIN b ON b.lang IS NOT DISTINCT FROM rated.lang CROSS JOIN c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM j
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fine, false) AS kept FROM j
 """
 
 
