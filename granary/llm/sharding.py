@@ -1,11 +1,12 @@
 """Sharding by best-fit-decreasing bin packing.
 
-Equal texts form one indivisible group.  Groups sorted by size enter the tightest remaining
-capacity, found in a balanced tree of the open bins; what fits nowhere enters the emptiest.  The
-packing itself runs on a bounded table: a group of at least 1/GRAIN of a shard is an item (there
-are at most shards * GRAIN of these), and all smaller groups are gathered by hash into
-shards * GRAIN bundles.  Rows find their item by two broadcast tables of that bounded size, so
-no row is shuffled for its shard.
+Equal texts form one indivisible group.  Groups sorted by size enter the bin of the tightest
+remaining capacity that holds them, found in a balanced tree of the open bins; with a given
+number of shards, what fits nowhere enters the emptiest.  Groups of one size are alike, and best
+fit puts one after another into the same bin until it is full for them, so the packing runs on
+the table of distinct sizes and their counts: at most sqrt(2 * bytes) rows, whatever the number of
+groups.  Its result says which numbers of a size go to which shard; groups get gapless numbers
+within their size, and rows find their group.  Every group is packed by its exact size.
 
 The law is `bytes`: sizes near equal, as far as the largest group lets them.
 
@@ -15,82 +16,167 @@ rows share a shard; an empty table gives an empty result; other columns play no
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 SHARDS = 16
-GRAIN = 1024
-
-
-class Bins:
-    """Bins by remaining capacity; a sorted list with binary search serves as the tree."""
-
-    def __init__(self, capacity: int, count: int | None):
-        """count: so many bins and no more; None: as many as it takes."""
-        self.capacity, self.fixed = capacity, count is not None
-        self.free = [(capacity, i) for i in range(count or 0)]
-        self.opened = count or 0
-
-    def put(self, size: int) -> int:
-        i = bisect.bisect_left(self.free, (size, -1))
-        if i == len(self.free):
-            if self.fixed:
-                i -= 1
+#: A group with more than one of so many rows is hot; there are at most so many.
+HOT = 1000
+
+
+class Tree:
+    """An AVL tree of (remaining capacity, bin)."""
+
+    class Node:
+        __slots__ = ("high", "key", "left", "right")
+
+        def __init__(self, key):
+            self.key, self.left, self.right, self.high = key, None, None, 1
+
+    def __init__(self, keys=()):
+        self.root = None
+        for k in keys:
+            self.add(k)
+
+    @staticmethod
+    def _high(n) -> int:
+        return n.high if n else 0
+
+    def _turned(self, n, left: bool):
+        """n with its left (or right) child above it."""
+        up = n.left if left else n.right
+        if left:
+            n.left, up.right = up.right, n
+        else:
+            n.right, up.left = up.left, n
+        for x in (n, up):
+            x.high = 1 + max(self._high(x.left), self._high(x.right))
+        return up
+
+    def _even(self, n):
+        n.high = 1 + max(self._high(n.left), self._high(n.right))
+        lean = self._high(n.left) - self._high(n.right)
+        if lean > 1:
+            if self._high(n.left.left) < self._high(n.left.right):
+                n.left = self._turned(n.left, False)
+            return self._turned(n, True)
+        if lean < -1:
+            if self._high(n.right.right) < self._high(n.right.left):
+                n.right = self._turned(n.right, True)
+            return self._turned(n, False)
+        return n
+
+    def add(self, key) -> None:
+        def into(n):
+            if n is None:
+                return Tree.Node(key)
+            if key < n.key:
+                n.left = into(n.left)
+            else:
+                n.right = into(n.right)
+            return self._even(n)
+
+        self.root = into(self.root)
+
+    def remove(self, key) -> None:
+        def out(n, key):
+            if key < n.key:
+                n.left = out(n.left, key)
+            elif key > n.key:
+                n.right = out(n.right, key)
+            elif n.left is None or n.right is None:
+                return n.left or n.right
+            else:
+                least = n.right
+                while least.left:
+                    least = least.left
+                n.key = least.key
+                n.right = out(n.right, least.key)
+            return self._even(n)
+
+        self.root = out(self.root, key)
+
+    def at_least(self, key):
+        """The least key from `key` on."""
+        n, found = self.root, None
+        while n:
+            if n.key >= key:
+                n, found = n.left, n.key
+            else:
+                n = n.right
+        return found
+
+    def last(self):
+        n = self.root
+        while n.right:
+            n = n.right
+        return n.key
+
+
+def best_fit_decreasing(sizes: dict[int, int], capacity: int, shards: int | None = None) -> list[tuple[int, int, int, int]]:
+    """sizes: how many items of each size.  (size, first number, number after the last, bin): where
+    the items of a size go, in the order they are packed.  shards: so many bins and no more; None:
+    as many as it takes."""
+    tree, opened, out = Tree((capacity, i) for i in range(shards or 0)), shards or 0, []
+    for size in sorted(sizes, reverse=True):
+        at, count = 0, sizes[size]
+        while at < count:
+            key = tree.at_least((size, -1))
+            if key is not None:
+                tree.remove(key)
+            elif shards is not None:
+                key = tree.last()
+                tree.remove(key)
             else:
-                self.free.append((max(self.capacity, size), self.opened))
-                self.opened += 1
-        left, bin_ = self.free.pop(i)
-        bisect.insort(self.free, (left - size, bin_))
-        return bin_
-
-
-def best_fit_decreasing(sizes: list[int], capacity: int, count: int | None = None) -> list[int]:
-    """The bin of each item."""
-    bins, out = Bins(capacity, count), [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        out[i] = bins.put(sizes[i])
+                key, opened = (max(capacity, size), opened), opened + 1
+            n = min(max(1, key[0] // size), count - at)
+            tree.add((key[0] - n * size, key[1]))
+            out.append((size, at, at + n, key[1]))
+            at += n
     return out
 
 
-def capacity_of(sizes: list[int], shards: int) -> int:
+def capacity_of(sizes: dict[int, int], shards: int) -> int:
     """The even share of what is left when items over the even share have shards of their own."""
-    rest, n = sum(sizes), shards
-    for s in sorted(sizes, reverse=True):
+    rest, n = sum(s * c for s, c in sizes.items()), shards
+    for s in sorted((s for s, c in sizes.items() for _ in range(min(c, shards))), reverse=True)[:shards]:
         if n <= 1 or s * n <= rest:
             break
         rest, n = rest - s, n - 1
     return max(1, -(-rest // n))
 
 
-def assigned(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard of each row."""
+def assigned(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard of each row.  shards: so many; or None and a capacity, of
+    which as many shards are filled as it takes."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("g_hash"))
     rows = C.stage(rows, "sizes")
     key = ["g_hash", "text_crc32", "size"]
-    groups = rows.groupBy(*key).agg(F.sum("size").alias("g_bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    least = max(1, -(-total // (shards * grain)))
-    bundles = shards * grain
-    large = groups.where(F.col("g_bytes") >= least).orderBy(*key).collect()  # at most `bundles` rows
-    bundle = F.pmod("g_hash", F.lit(bundles)).cast("int")
-    small = groups.where(F.col("g_bytes") < least).groupBy(bundle.alias("g_bundle")).agg(F.sum("g_bytes").alias("n")).orderBy("g_bundle").collect()  # likewise
-    sizes = [r["g_bytes"] for r in large] + [r["n"] for r in small]
-    where = best_fit_decreasing(sizes, capacity_of(sizes, shards), shards)
-    big = spark.createDataFrame([(r["g_hash"], r["text_crc32"], r["size"], s) for r, s in zip(large, where, strict=False)], "g_hash long, text_crc32 long, size long, g_big int")
-    rest = spark.createDataFrame([(r["g_bundle"], s) for r, s in zip(small, where[len(large) :], strict=True)], "g_bundle int, g_small int")
-    found = rows.join(F.broadcast(big), key, "left").withColumn("g_bundle", bundle).join(F.broadcast(rest), "g_bundle", "left")
-    return found.select("doc_id", "size", "text_crc32", "g_hash", F.coalesce("g_big", "g_small").alias("shard"))
-
-
-def sharded(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFrame:
+    groups = C.stage(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("g_rows")).withColumn("g_bytes", F.col("g_rows") * F.col("size")), "groups")
+    table = groups.groupBy("g_bytes").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row for each different size
+    sizes = dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
+    plan = best_fit_decreasing(sizes, capacity if shards is None else capacity_of(sizes, shards), shards)
+    cols = np.array(plan, np.int64).reshape(-1, 4).T
+    where = spark.createDataFrame(pa.table(dict(zip(("g_bytes", "g_lo", "g_hi", "shard"), cols, strict=True))))
+    ranked = C.numbered(groups, ["g_bytes"], key, "g_rank", ["g_hash"], 16)
+    near = (F.col("g_rank") >= F.col("g_lo")) & (F.col("g_rank") < F.col("g_hi"))
+    placed = C.stage(ranked.join(where, (ranked["g_bytes"] == where["g_bytes"]) & near).select(*key, "g_rows", F.col("shard").cast("int").alias("shard")), "placed")
+    total = sum(sizes[s] for s in sizes) and rows.count()
+    hot = placed.where(F.col("g_rows") > total // HOT).select(*key, F.col("shard").alias("g_hot"))  # under HOT rows
+    known = rows.join(F.broadcast(hot), key, "left")
+    rest = known.where("g_hot is null").drop("g_hot").join(placed.where(F.col("g_rows") <= total // HOT).drop("g_rows"), key)
+    return known.where("g_hot is not null").withColumnRenamed("g_hot", "shard").select(*rest.columns).unionByName(rest)
+
+
+def sharded(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None) -> DataFrame:
     """As assigned(), with a gapless slot in each shard."""
-    rows = assigned(docs, shards, grain).withColumn("g_salt", F.xxhash64("doc_id", "g_hash"))
+    rows = assigned(docs, shards, capacity).withColumn("g_salt", F.xxhash64("doc_id", "g_hash"))
     parts = max(16, C.partitions(docs.sparkSession))
     return C.numbered(rows, ["shard"], ["g_salt", "doc_id"], "slot", ["g_salt"], parts).select("doc_id", "size", "text_crc32", "shard", "slot")
 
