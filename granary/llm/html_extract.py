@@ -5,8 +5,10 @@ score positive and tags negative; one linear scan finds the contiguous region of
 and the text of that region is the page's, without the elements that never are content.  The
 scores are log odds of a token inside and outside the content of labelled pages: those, of a
 sample of about SAMPLE pages, whose markup names its one article.  Without any, the prior
-scores stand.  An element that holds an article or main, or most of the page's words, is never
-left out for its name; the scores decide there.
+scores stand.  Where the markup names one article (or else one main), words outside it are tokens
+of their own, which score negative, and what is left out within it costs nothing.  An element that
+holds an article or main, or most of the page's words, is never left out for its name; the scores
+decide there.  Every step takes time linear in the page.
 
 Defined cases: a null or empty page, or one without words, gives the empty text; a null page_id
 or url stays null; equal rows give equal texts; an element that is never closed hides nothing;
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter, defaultdict
 from itertools import accumulate
 
 import pyarrow as pa
@@ -35,11 +38,14 @@ BESIDE = frozenset("nav footer aside menu dialog".split())
 #: Whole names in class, id or role that mark what is no part of an article.
 MARKS = frozenset("ad ads advert adverts advertisement sponsored sponsor promo promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices banner popup modal newsletter subscribe share sharing social related comments comment contentinfo complementary search disclaimer".split())
 #: Elements within a line of text.
-INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr output picture q rb rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|title|textarea)\b([^>]*)>(.*?)(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
+#: Elements whose content is text up to their closing tag.
+RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "title", "textarea")}
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[\"'>]")
 MARKED = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-WORD_SCORE, TAG_SCORE, NEVER_SCORE = 3.0, -1.0, -4.0
+WORD_SCORE, TAG_SCORE, NEVER_SCORE, BESIDE_SCORE = 3.0, -1.0, -1.5, -3.0
 
 Token = tuple[str, str, str]  # kind (open, close, text), element's name, text
 
@@ -59,26 +65,70 @@ def marked(name: str, attributes: str) -> bool:
     return not MARKS.isdisjoint(names)
 
 
+def parts(page: str) -> list[tuple[str, str, str]]:
+    """Tags (open or close, with name and attributes) and texts, in order.  A tag whose quotes
+    never end closes at the next ">"; a "<" that begins no tag is text."""
+    found: list[tuple[str, str, str]] = []
+    at = begin = 0  # read up to here; where the text not yet given begins
+    last, quotes = page.rfind(">"), True
+
+    def text(to: int) -> None:
+        if to > begin:
+            found.append(("text", "", page[begin:to]))
+
+    while (p := page.find("<", at)) >= 0:
+        mark = page[p + 1 : p + 2]
+        if page.startswith(("<!--", "<![CDATA["), p):
+            end = "-->" if page[p + 2] == "-" else "]]>"
+            text(p)
+            q = page.find(end, p + 4)
+            at = begin = len(page) if q < 0 else q + 3
+            continue
+        if p > last:
+            break
+        if mark in ("!", "?") and mark:
+            text(p)
+            at = begin = page.find(">", p) + 1
+            continue
+        m = NAME.match(page, p)
+        if not m:
+            at = p + 1
+            continue
+        name, i = m[1].lower(), m.end()
+        if mark != "/" and name in RAW:
+            text(p)
+            end = RAW[name].search(page, page.find(">", i) + 1)
+            found += [("open", "!" + name, ""), ("close", "!" + name, "")]
+            at = begin = end.end() if end else len(page)
+            continue
+        while quotes and (x := STOP.search(page, i)) and x[0] != ">":
+            i = page.find(x[0], x.end()) + 1
+            quotes = i > 0
+        q = page.find(">", i if quotes else m.end())
+        if q < 0:
+            quotes = False
+            q = page.find(">", m.end())
+        text(p)
+        found.append(("close" if mark == "/" else "open", name, page[m.end() : q]))
+        at = begin = q + 1
+    text(len(page))
+    return found
+
+
 def tokens(page: str) -> list[Token]:
     """The page's tags and texts; text in elements that are never content is left out, and such
-    an element's tags are named after it with a "!"."""
-    found: list[tuple] = []
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            found.append(("text", "", page[at : m.start()]))
-        at = m.end()
-        if m[1]:
-            found.append(("open", "!" + m[1].lower(), ""))
-            found.append(("close", "!" + m[1].lower(), ""))
-        elif m[5]:
-            name = m[5].lower()
-            kind = "close" if m[4] else "open"
-            found.append((kind, name, m[6] or ""))
-    if at < len(page):
-        found.append(("text", "", page[at:]))
+    an element's tags are named after it with a "!", or with a "?" within the article.  Texts
+    outside it stand in an element named with a "~"."""
+    found = parts(page)
     words = list(accumulate((len(x[2].split()) if x[0] == "text" else 0 for x in found), initial=0))
     mains = list(accumulate((x[0] == "open" and x[1] in ("article", "main") for x in found), initial=0))
+    # where each element ends: after the closing tag that matches
+    ends, opened = {}, defaultdict(list)
+    for i, (kind, name, _) in enumerate(found):
+        if kind == "open":
+            opened[name].append(i)
+        elif kind == "close" and opened[name]:
+            ends[opened[name].pop()] = i + 1
 
     def held(name: str, i: int, j: int) -> bool:
         """Whether the element found[i:j] has what must not be left out."""
@@ -88,22 +138,15 @@ def tokens(page: str) -> list[Token]:
             return True
         return 2 * (words[j] - words[i]) > words[-1] and not (name in BESIDE and mains[-1])
 
-    # where each hidden element ends: at the closing tag that matches
     out: list[Token] = []
-    i, stack, articles = 0, [], 0
+    i, stack, inside, articles = 0, [], Counter(), 0
     while i < len(found):
         kind, name, rest = found[i]
-        hides = kind == "open" and name not in VOID and name not in ("html", "body", "article", "main") and (name in NEVER or (name == "header" and not articles) or marked(name, rest))
-        if hides and not rest.rstrip().endswith("/"):
-            depth, j = 1, i + 1
-            while j < len(found) and depth:
-                if found[j][1] == name:
-                    depth += 1 if found[j][0] == "open" else -1
-                j += 1
-            if not depth and not held(name, i, j):
-                out += [("open", "!" + name, ""), ("close", "!" + name, "")]
-                i = j
-                continue
+        hides = kind == "open" and i in ends and name not in VOID and name not in ("html", "body", "article", "main") and (name in NEVER or (name == "header" and not articles) or marked(name, rest))
+        if hides and not rest.rstrip().endswith("/") and not held(name, i, ends[i]):
+            out += [("open", "!" + name, ""), ("close", "!" + name, "")]
+            i = ends[i]
+            continue
         if kind == "text":
             out.append(("text", stack[-1] if stack else "", rest))
         else:
@@ -114,17 +157,25 @@ def tokens(page: str) -> list[Token]:
                 if kind == "open":
                     if not (name == "p" and stack and stack[-1] == "p"):
                         stack.append(name)
-                elif name in stack:
-                    while stack.pop() != name:
-                        pass
+                        inside[name] += 1
+                elif inside[name]:
+                    while (x := stack.pop()) != name:
+                        inside[x] -= 1
+                    inside[name] -= 1
         i += 1
-    return out
-
-
-def label(seq: list[Token]) -> tuple[int, int] | None:
-    """The content of a page whose markup names its one article."""
-    first = [i for i, t in enumerate(seq) if t[:2] == ("open", "article")]
-    last = [i for i, t in enumerate(seq) if t[:2] == ("close", "article")]
+    holder = label(out) or label(out, "main")
+    if holder is None:
+        return out
+    lo, hi = holder
+    beside = lambda t: (t[0], "~" + t[1], t[2]) if t[0] == "text" else t
+    within = lambda t: (t[0], "?" + t[1][1:], "") if t[1][:1] == "!" else t
+    return [*map(beside, out[:lo]), *map(within, out[lo:hi]), *map(beside, out[hi:])]
+
+
+def label(seq: list[Token], name: str = "article") -> tuple[int, int] | None:
+    """The content of a page whose markup names its one article (or other element)."""
+    first = [i for i, t in enumerate(seq) if t[:2] == ("open", name)]
+    last = [i for i, t in enumerate(seq) if t[:2] == ("close", name)]
     return (first[0], last[0] + 1) if len(first) == len(last) == 1 and first < last else None
 
 
@@ -133,20 +184,31 @@ def kinds(t: Token) -> tuple[str, int]:
     return ("w:" + t[1], len(t[2].split())) if t[0] == "text" else ("t:" + t[1], 1)
 
 
+def bounds(name: str) -> tuple[float, float]:
+    """Least and greatest score of a token.  Words score a tenth or more, but those beside the
+    article; tags score minus a tenth or less, but what is left out within it."""
+    if name[0] == "w":
+        return (-math.inf, -0.1) if name[2:3] == "~" else (0.1, math.inf)
+    return {"?": (0.0, 0.0), "!": (NEVER_SCORE, -0.1)}.get(name[2:3], (-math.inf, -0.1))
+
+
 def weights(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """counts: of each name inside and outside the content.  Words never score under a tenth,
-    tags never over minus a tenth."""
+    """counts: of each name inside and outside the content.  Log odds, within bounds()."""
     inside = sum(x for x, _ in counts.values()) + 1.0
     outside = sum(x for _, x in counts.values()) + 1.0
     out = {}
     for name, (i, o) in counts.items():
-        odds = math.log((i + 0.5) / inside) - math.log((o + 0.5) / outside)
-        out[name] = max(0.1, odds) if name[0] == "w" else min(-0.1, odds)
+        low, high = bounds(name)
+        out[name] = min(high, max(low, math.log((i + 0.5) / inside) - math.log((o + 0.5) / outside)))
     return out
 
 
 def score(name: str, known: dict[str, float]) -> float:
-    return known.get(name, WORD_SCORE if name[0] == "w" else NEVER_SCORE if name[2:3] == "!" or name[2:] in NEVER else TAG_SCORE)
+    if name in known:
+        return known[name]
+    if name[0] == "w":
+        return BESIDE_SCORE if name[2:3] == "~" else WORD_SCORE
+    return 0.0 if name[2:3] == "?" else NEVER_SCORE if name[2:3] == "!" or name[2:] in NEVER else TAG_SCORE
 
 
 def region(seq: list[Token], known: dict[str, float]) -> tuple[int, int]:
@@ -182,7 +244,7 @@ def learned(pages: DataFrame, sample: int = SAMPLE, column: str = "html") -> dic
             seen: dict[str, list[int]] = {}
             for page in b.column("html").to_pylist():
                 seq = tokens(page)
-                if (at := label(seq)) is not None:
+                if (at := label(seq) or label(seq, "main")) is not None:
                     for i, t in enumerate(seq):
                         name, n = kinds(t)
                         seen.setdefault(name, [0, 0])[0 if at[0] <= i < at[1] else 1] += n
