@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Least node of each node's component; i, j: links among n nodes."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (longs).  Returns u, root for every node but the roots; a root is the least
     node of its component.  Each round is staged, so the lineage stays short."""
