@@ -2,6 +2,11 @@
 
 Each stage takes the whole table that its predecessor kept; all but the last return the columns
 of `documents`.  Between stages the table is written as Parquet and read again.
+
+In every stage: a null text counts as empty and stays null where a stage does not rewrite it; a
+null doc_id, lang or source is a value like another and comes back as null; equal rows are
+documents each, where the stage does not say otherwise; further columns, whatever their names,
+play no part and are left behind; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -9,32 +14,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import jaccard, mixing, packing, suffix_dedup, toxicity
+from granary.llm import mixing, packing, simhash, suffix_dedup, toxicity
 from granary.llm.common import WORD, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go."""
+    """Documents that score 0.7 or more go.  One without words scores by the bias and stays.
+    Without labels nothing is learned, and all stay."""
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group of near-duplicates stays: texts whose sets
-    of five-word shingles have a Jaccard similarity of 0.8 or more, directly or by a chain."""
-    return jaccard.one_each(docs).select(*COLUMNS)
+    of five-word shingles have a Jaccard similarity of 0.8 or more, directly or by a chain.  Texts
+    without words are one group; of rows equal in id and text one stays, the same in any order; a
+    null id is the greatest."""
+    return simhash.one_each(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the bytes covered by 200-byte strings that start twice or more; a document
-    that loses all stays, with an empty text."""
+    that loses all stays, with an empty text, as does one whose text is null.  The rests of a
+    character that was cut go with it."""
     done = suffix_dedup.remove_repeats(docs, carry=["lang", "source"], decode=True)
     return done.select("doc_id", F.col("kept").alias("text"), "carried.lang", "carried.source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at a source's border by its first words."""
+    """Documents as often as the mix takes them; the one at a source's border by its first words.
+    A document without words is taken no times, so it goes.  Equal rows are taken alike."""
     done = mixing.mixed(docs, carry=["text", "lang"])
     text, whole = F.col("carried.text"), F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
     rest = (F.col("taken") - whole * F.col("size")).cast("int")
@@ -45,7 +55,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, each with its place in a packed one."""
+    """Pieces of token sequences, each with its place in a packed one.  A document without text is
+    a piece of the end id alone."""
     return packing.pack(docs, packing.default_tokenizer()).drop("ids")
 
 
