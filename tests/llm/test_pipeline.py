@@ -38,3 +38,35 @@ def test_stages(spark, sf_dir, tmp_path):
     key = lambda d: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in d.collect())
     assert key(whole) == key(pieces)
     assert all(re.fullmatch(r"\w+", n) for n, _ in pipeline.STAGES)
+
+
+def test_odd_rows(spark, docs, corpus, nothing, tmp_path):
+    """Nulls, blanks, ties, repeated rows, a long text and columns with clashing names, in each stage."""
+    spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(10, 60)] + [(None, 1), (11, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "", str(r.lang), str(r.source))
+    for name, step in pipeline.STAGES:
+        rows = step(spark, docs, str(tmp_path)).collect()
+        again = step(spark, docs.repartition(7), str(tmp_path)).collect()
+        if name == "sequences":
+            assert sum(r.start == 0 for r in rows) == len(corpus)
+            continue
+        assert rows[0].__fields__ == pipeline.COLUMNS and sorted(map(key, rows)) == sorted(map(key, again))
+        ids = collections.Counter(r.doc_id for r in rows)
+        if name == "repeated_passages":
+            assert ids == collections.Counter(r[0] for r in corpus) and all(r.text is not None for r in rows)
+        if name == "near_duplicates":
+            assert sum(not (r.text or "").split() for r in rows) == 1 and set(ids.values()) == {1}
+        if name == "mixture":
+            assert all(r.text.split() and r.n_chars == len(r.text) for r in rows)
+            sizes, taken = collections.Counter(), collections.Counter()
+            for r in corpus:
+                sizes[r[3]] += len((r[1] or "").split())
+            for r in rows:
+                taken[r.source] += len(r.text.split())
+            assert abs(sum(taken.values()) - sum(sizes.values())) <= len(sizes)
+
+
+def test_empty_stages(spark, nothing, tmp_path):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, step in pipeline.STAGES:
+        assert step(spark, nothing, str(tmp_path)).collect() == []

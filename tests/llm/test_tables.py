@@ -8,17 +8,58 @@ from compare import same
 from granary.llm import mixing, queries, sharding, topk
 
 
-def test_best_fit():
-    assert sharding.best_fit_decreasing([5, 7, 5, 2, 4, 2], 10) == [1, 0, 1, 0, 2, 2]
-    bins = sharding.best_fit_decreasing([9, 8, 2, 1], 10, 2)
-    assert bins == [0, 1, 1, 0]
-    assert sharding.capacity_of([100, 1, 1, 1, 1], 3) == 2
-    assert sharding.capacity_of([], 16) == 1
+def plain_best_fit(sizes, capacity, count=None):
+    """Item by item: the fullest bin that an item fits."""
+    left, out = [capacity] * (count or 0), collections.Counter()
+    for s in sorted(sizes, reverse=True):
+        fits = [i for i, r in enumerate(left) if r >= s]
+        if fits:
+            i = min(fits, key=lambda i: (left[i], i))
+        elif count:
+            i = max(range(count), key=lambda i: (left[i], i))
+        else:
+            i = len(left)
+            left.append(max(capacity, s))
+        left[i] -= s
+        out[s, i] += 1
+    return out
 
 
-@pytest.mark.parametrize("grain", [1024, 1])
-def test_sharding(docs, corpus, nothing, grain):
-    rows = sharding.sharded(docs, 4, grain).collect()
+def test_best_fit():
+    assert sharding.capacity_of({100: 1, 1: 4}, 3) == 2 and sharding.capacity_of({}, 16) == 1
+    rng = np.random.default_rng(0)
+    for case in range(60):
+        items = rng.integers(1, 60, rng.integers(1, 120)).tolist()
+        sizes, count = collections.Counter(items), [None, 3, 16][case % 3]
+        capacity = sharding.capacity_of(sizes, count) if count else int(rng.integers(40, 200))
+        got, seen = collections.Counter(), collections.defaultdict(list)
+        for size, lo, hi, bin_ in sharding.best_fit_decreasing(sizes, capacity, count):
+            got[size, bin_] += hi - lo
+            seen[size] += range(lo, hi)
+        assert got == plain_best_fit(items, capacity, count)
+        assert all(sorted(x) == list(range(sizes[s])) for s, x in seen.items())
+
+
+def test_tree():
+    rng = np.random.default_rng(1)
+    keys, tree = set(), sharding.Tree()
+    for _ in range(3000):
+        k = (int(rng.integers(300)), 0)
+        if k in keys:
+            keys.remove(k)
+            tree.remove(k)
+        else:
+            keys.add(k)
+            tree.add(k)
+        x = (int(rng.integers(300)), -1)
+        assert tree.at_least(x) == min((k for k in keys if k >= x), default=None)
+    assert tree.last() == max(keys) and tree.root.high <= 1.45 * np.log2(len(keys) + 2)
+
+
+@pytest.mark.parametrize("capacity", [None, 3000])
+def test_sharding(docs, corpus, nothing, capacity, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 20)  # some groups are hot
+    rows = sharding.sharded(docs, None if capacity else 4, capacity).collect()
     want = collections.Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in corpus)
     assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
     where, slots = collections.defaultdict(set), collections.defaultdict(list)
@@ -26,8 +67,28 @@ def test_sharding(docs, corpus, nothing, grain):
         where[r.size, r.text_crc32].add(r.shard)
         slots[r.shard].append(r.slot)
     assert all(len(s) == 1 for s in where.values())
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(4))
-    assert sharding.sharded(nothing).collect() == []
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # every group by its exact size, as best fit has it
+    groups = collections.Counter()
+    for (_, size, crc), n in want.items():
+        groups[size, crc] += size * n
+    counts = collections.Counter(groups.values())
+    plain = plain_best_fit(list(groups.values()), capacity or sharding.capacity_of(counts, 4), None if capacity else 4)
+    assert collections.Counter((groups[g], next(iter(s))) for g, s in where.items()) == plain
+    assert sharding.sharded(nothing, None if capacity else 4, capacity).collect() == []
+
+
+def test_op5_sharding(spark, sf_dir):
+    rows = sharding.op5_sharding(spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    groups = collections.Counter()
+    for d in docs:
+        groups[d.text] += len(d.text.encode()) + 1
+    text, shard = {d.doc_id: d.text for d in docs}, {}
+    for r in rows:
+        assert shard.setdefault(text[r.doc_id], r.shard) == r.shard and r.law == "bytes" and r.grown_shard is None
+    plain = plain_best_fit(list(groups.values()), sharding.capacity_of(collections.Counter(groups.values()), 16), 16)
+    assert collections.Counter((groups[t], s) for t, s in shard.items()) == plain and len(rows) == len(docs)
 
 
 def test_shards_are_even(spark):

@@ -6,8 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
-from granary.llm import html_extract, packing, quality_rules, toxicity
-from granary.llm.common import WORD
+from granary.llm import html_extract, quality_rules, toxicity
+from granary.llm.common import WORD, stage
 
 
 def test_toxicity(spark):
@@ -27,6 +27,56 @@ def test_toxicity(spark):
     assert (again[0] == model[0]).all() and (again[1] == model[1]).all()
 
 
+def test_features_brute():
+    """Against words, stems, pairs and skip-pairs made one by one: equal strings and no others
+    share a hash."""
+    texts = ["The quick-brown FOX, naïvely 12 the", "", "the QUICK brown", "x"]
+    raw = [t.encode() for t in texts]
+    off = np.append(0, np.cumsum([len(r) for r in raw]))
+    doc, at = toxicity.features(np.frombuffer(b"".join(raw), np.uint8), off)
+    want = []
+    for i, r in enumerate(raw):
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", r.lower())
+        found = [("w", x) for x in w] + [(n, x[:n]) for n in toxicity.STEMS for x in w if len(x) > n]
+        found += [(f"pair{k}", a, b) for k in (1, 2) for a, b in zip(w, w[k:], strict=False)]
+        want += [(i, x) for x in found]
+    assert collections.Counter(doc.tolist()) == collections.Counter(i for i, _ in want)
+    # which documents share a feature, and how often each has it
+    mine, theirs = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for i, x in zip(doc.tolist(), at.tolist(), strict=True):
+        mine[x][i] += 1
+    for i, x in want:
+        theirs[x][i] += 1
+    shape = lambda m: sorted(tuple(sorted(c.items())) for c in m.values())
+    assert shape(mine) == shape(theirs)
+
+
+def test_ftrl_brute():
+    """Against the update rule, a coordinate at a time."""
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.choice(50, rng.integers(1, 9), replace=False), toxicity.BIAS) for _ in range(80)]
+    labels = rng.integers(0, 2, 80).astype(float)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        cut = 0.0 if i == toxicity.BIAS else l1
+        return 0.0 if abs(z[i]) <= cut else (np.sign(z[i]) * cut - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for d in order.permutation(80):
+            w = {i: weight(i) for i in docs[d].tolist()}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[d]
+            for i, x in w.items():
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * x
+                n[i] += g * g
+    got = toxicity.ftrl(docs, labels, 3, alpha, beta, l1, l2)
+    assert np.allclose([got[i] for i in [*range(50), toxicity.BIAS]], [weight(i) for i in [*range(50), toxicity.BIAS]])
+    assert 0 < np.count_nonzero(got) < 51
+
+
 def test_toxicity_without_labels(docs, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learned(docs, none)
@@ -53,10 +103,12 @@ def test_quality_measures(docs, corpus):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
-def test_quality_bins(spark):
-    got = spark.range(0, 5000).select("id", quality_rules.to_bin(quality_rules.F.col("id")).alias("b")).select("id", "b", quality_rules.of_bin(quality_rules.F.col("b")).alias("top"))
+@pytest.mark.parametrize("bits", [5, 9])
+def test_quality_bins(spark, bits):
+    got = spark.range(0, 5000).select("id", quality_rules.to_bin(quality_rules.F.col("id"), bits).alias("b"))
+    got = got.select("id", "b", quality_rules.of_bin(quality_rules.F.col("b"), bits).alias("top"), quality_rules.of_bin(quality_rules.F.col("b"), bits, True).alias("low"))
     rows = got.orderBy("id").collect()
-    assert all(r.id <= r.top <= r.id * 17 / 16 for r in rows)
+    assert all(r.low <= r.id <= r.top <= r.low * (1 + 2.0 ** (1 - bits)) for r in rows)
     assert [r.b for r in rows] == sorted(r.b for r in rows)
 
 
@@ -71,50 +123,50 @@ def test_quality_verdicts(docs, nothing, spark):
     assert not kept.pop(900) and all(kept.values())
 
 
-def test_word_ids_equal_whole_text():
-    path = packing.default_tokenizer()
-    texts = ["Hello, world's  best\n\nthing\t<|endoftext|> x", "", "Ünïcode é́ ΑΣ ΌΣΟΣ nb  em ​ zero", "ab" * 300, "don't we'll 12345 #$%&", "日本 語 テキスト 🙂🙂 x", "  "]
-    whole = [np.array(e.ids, "<u4").tobytes() for e in packing.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
-    assert packing.WordIds(path)([t.encode() for t in texts]) == whole
-
-
-def test_fill():
-    assert packing.fill([700, 500, 300], {700: 1, 500: 1, 300: 3}, 1300) == {700: 1, 300: 2}
-    assert sum(n * k for n, k in packing.fill([9, 6], {9: 1, 6: 5}, 20).items()) == 18
-    assert packing.fill([9], {9: 4}, 5) == {}
-    counts = {n: (n * 7919) % 13 + 1 for n in range(1, 129)}
-    used = collections.Counter()
-    for times, multiset in packing.plan(counts, 128):
-        assert sum(n * k for n, k in multiset.items()) <= 128
-        for n, k in multiset.items():
-            used[n] += times * k
-    assert used == counts
-
-
-def test_packing(docs, corpus, nothing):
-    path = packing.default_tokenizer()
-    tok = packing.tokenizer(path)
-    rows = packing.pack(docs, path, 64, with_ids=True).collect()
-    whole = collections.Counter((r[0], tuple(e.ids + [1])) for r, e in zip(corpus, tok.encode_batch([r[1] or "" for r in corpus], add_special_tokens=False), strict=True))
-    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
-    for r in rows:
-        ids = np.frombuffer(r.ids, "<u4")
-        assert len(ids) == r.length and zlib.crc32(r.ids) == r.ids_crc32
-        pieces[r.doc_id, r.start].append((r.doc_tokens, tuple(ids.tolist())))
-        sequences[r.sequence_id].append((r.offset, r.length))
-    want = collections.Counter()
-    for (d, ids), n in whole.items():
-        for at in range(0, len(ids), 64):
-            want[d, at, len(ids), ids[at : at + 64]] += n
-    assert collections.Counter((d, at, *p) for (d, at), ps in pieces.items() for p in ps) == want
-    for parts in sequences.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 64
-    assert sorted(sequences) == list(range(len(sequences)))
-    assert packing.pack(nothing, path).collect() == []
+def noisy(n, source, symbols, first):
+    """Documents of 100 words, of which some have `symbols` more signs."""
+    rng = np.random.default_rng(first)
+    rows = []
+    for i in range(n):
+        words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(100)]
+        rows.append((first + i, " ".join(words) + " " + "#" * int(rng.integers(*symbols)), "en", source))
+    return rows
+
+
+def test_quality_thresholds_follow_their_source(spark):
+    """A source of many symbols has its own threshold and moves no other's; few such documents
+    in a clean source move nothing and go."""
+    schema = "doc_id long, text string, lang string, source string"
+    clean = noisy(300, "a", (0, 3), 0)
+
+    def limits(rows):
+        rated = stage(quality_rules.rates(quality_rules.measured(spark.createDataFrame(rows, schema))), "rates")
+        return {r.a_source: r.t.high_r_symbols for r in quality_rules.limits(rated).collect()}
+
+    alone = limits(clean)["a"]
+    both = limits(clean + noisy(300, "b", (40, 60), 1000))
+    assert both["a"] == alone < 40 < 300 < both["b"]
+    mixed = clean + noisy(12, "a", (600, 900), 2000)
+    assert limits(mixed)["a"] == alone
+    kept = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(mixed + noisy(300, "b", (40, 60), 1000), schema)).collect()}
+    assert all(kept[i] == (not 2000 <= i) for i in kept)
+
+
+def test_quality_sketches_merge(spark):
+    """Thresholds of a language from its sources' sketches, and from its documents."""
+    rows = noisy(250, "a", (0, 9), 0) + noisy(250, "b", (3, 20), 1000)
+    rated = stage(quality_rules.rates(quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))), "rates")
+    fine = quality_rules.sketches(rated)
+    whole = quality_rules.sketches(rated.withColumn("source", quality_rules.F.lit("x")))
+    assert quality_rules.thresholds(quality_rules.merged(fine, ["lang"]), ["lang"]).collect() == quality_rules.thresholds(quality_rules.merged(whole, ["lang"]), ["lang"]).collect()
+
+
+def test_quality_against_labels(spark):
+    """Of rows labelled good, those that pass the base rules stay; of bad ones, few do."""
+    d = "/root/testdata/sf0.1"
+    found = quality_rules.op3_quality_rules(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed")
+    r = found.selectExpr("avg(int(kept)) FILTER (WHERE quality = 1)", "avg(int(kept)) FILTER (WHERE quality = 0)").first()
+    assert r[0] > 0.99 and r[1] < 0.02
 
 
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- c --><div class="ad">buy</div><article><h1>{0}</h1><p>{1} <b>bo</b>ld &amp; <br>x</p><aside>side</aside><p>more\n\n {1}<div class="comments"><p>reader says</p></div></article><footer>&copy; f</footer></body></html>'
@@ -180,3 +232,37 @@ def test_html_names_in_article(part):
 @pytest.mark.parametrize("part", ['<div class="box ad">gone</div>', '<div id="comments"><p>gone</p></div>', '<div role="search">gone</div>', "<ul class=related><li>gone</ul>", "<form>gone</form>"])
 def test_html_marks_in_article(part):
     assert "gone" not in html_extract.extract(f"<body><article>{BODY}{part}{BODY}</article></body>", {})
+
+
+SHARE = '<div class="share">tweet this</div>'
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="layout with-sidebar"><article>one two three</article></div>', '<section class="post has-comments"><article>one two three</article></section>',
+    '<div class="social-policy-page"><article>one two three</article></div>', '<form id="aspnetForm"><article>one two three</article></form>',
+    f"<article>one {SHARE} two {SHARE}{SHARE} three</article>", "<article>o<ins>ne</ins> t<del>w</del><label>o</label> thr<img src='x'>ee</article>",
+    "<p>before and before</p><article>one two three</article><p>after it comes more</p>", "<p>words before</p><main>one two three</main><p>and after and after</p>",
+    "<article>one two three<p class=\"x>", "<article>one two < three</article>",
+])
+@pytest.mark.parametrize("known", [{}, {"w:article": 10.7, "w:p": 10.7, "t:!div": -4.0, "t:div": -12.5}])
+def test_html_whole_article(page, known):
+    assert html_extract.extract(f"<body><nav>menu</nav>{page}<footer>foot</footer></body>", known).replace("< ", "") == "one two three"
+
+
+def test_html_without_article():
+    """Pages whose markup names no article, with known text."""
+    body = " ".join(f"word{i}" for i in range(40))
+    for wrap in ("<div id=content><h1>head</h1><p>{}</p>{}<p>tail words</p></div>", "<table><tr><td>head<p>{}{}<p>tail words</table>", "head<br>{}{}tail words"):
+        page = f"<body><nav>menu</nav><div class=sidebar>side</div>{wrap.format(body, SHARE)}<div class=footer>foot</div><script>x</script></body>"
+        assert html_extract.extract(page, {}) == f"head {body} tail words"
+
+
+@pytest.mark.parametrize("unit", ["<form>x", "<a ", '<a "', "<!x", "<div>", "<div class=ad>", "</p><div>", "<script", "<!--", "&amp", "<a b='", "</script ", '<a class="', "<p>x</div>", "<aside>x</nav>"])
+@pytest.mark.parametrize("end", ["", ">", "</p>" * 20_000])
+def test_html_hostile_pages(unit, end):
+    """A megabyte of one unit takes time in proportion."""
+    import time
+
+    began = time.process_time()
+    html_extract.extract("<body>" + unit * (1_000_000 // len(unit)) + end, {})
+    assert time.process_time() - began < 3
