@@ -7,7 +7,7 @@ sorted by cap over weight: the sources before a point are capped, the others sha
 Each source gives floor(target / size) complete epochs.  What remains is drawn without
 replacement: document keys -ln(u) / quality, u from a hash of doc_id, ascending, prefix-summed
 until the budget is spent; the document at the border gives its first words.  A source of any
-size is sorted in BUCKETS ranges of the key, whose sums are prefix-summed first.
+size is sorted in some thousand ranges of the key, whose sums are prefix-summed first.
 
 Quality lies in (0, 1]: one over one plus ten times the symbols a word.
 
@@ -18,6 +18,7 @@ target 0; an empty table gives an empty result; other columns come back in `carr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +28,7 @@ from . import common as C
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BUCKETS = 4096
+BUCKETS, TAIL, OCTAVE = 4096, 4.0, 512
 SYMBOLS = "#*$%&|<>"
 
 
@@ -41,6 +42,13 @@ def quality(text: Column, words: Column) -> Column:
     return 1.0 / (1.0 + 10.0 * F.coalesce(symbols, F.lit(0)) / F.greatest(words, F.lit(1)))
 
 
+def bucket(key: Column) -> Column:
+    """The range of a key: any monotone map does.  This one evens out exponential keys of good
+    documents, and parts those from TAIL on, where bad ones are, by their logarithm."""
+    edge = int((1.0 - math.exp(-TAIL / 2.0)) * BUCKETS) + 1
+    return F.when(key < TAIL, F.floor((1.0 - F.exp(-key / 2.0)) * BUCKETS)).otherwise(edge + F.floor(F.log2(key / TAIL) * OCTAVE)).cast("int")
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """sizes: source, source_size (one row a source).  Adds target."""
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source: a small table
@@ -65,8 +73,7 @@ def mixed(docs: DataFrame, carry: list[str] | None = None, weights: Sequence[int
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words.alias("size"), F.xxhash64(F.col(text)).alias("g_text"), u.alias("g_u"), quality(F.col(text), words).alias("g_q"), C.carried(docs, carry).alias("carried"))
     base = base.withColumn("g_key", -F.log("g_u") / F.col("g_q")).drop("g_u", "g_q")
     base = C.stage(base, "words")
-    # keys to ranges: any monotone map does; this one evens out exponential keys
-    base = base.withColumn("g_bucket", F.floor((1.0 - F.exp(-F.col("g_key") / 2.0)) * BUCKETS).cast("int"))
+    base = base.withColumn("g_bucket", bucket(F.col("g_key")))
     by = base.groupBy("source", "g_bucket").agg(F.sum("size").alias("g_words"))
     sizes = by.groupBy("source").agg(F.sum("g_words").alias("source_size"))
     aims = targets(sizes, weights, most)

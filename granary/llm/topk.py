@@ -32,7 +32,8 @@ from . import common as C
 K = 10
 PAGE = 64
 BLOCK = 8192
-QUERIES = 2048
+#: Queries that go to a tree at a time: a tree is sent once for so many.
+QUERIES = 8192
 
 
 def whole(vector: Column, scale: int = 1024) -> Column:

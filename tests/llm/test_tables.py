@@ -127,6 +127,16 @@ def test_mixing(docs, corpus, nothing):
     assert mixing.mixed(nothing).collect() == []
 
 
+@pytest.mark.parametrize("quality", [1.0, 1 / 31, 0.2])
+def test_key_ranges(spark, quality):
+    """Ranges follow the keys' order, and none has many of a source, however bad its documents."""
+    rng = np.random.default_rng(0)
+    keys = np.sort(rng.exponential(size=50_000) / quality)
+    rows = spark.createDataFrame([(float(k),) for k in keys], "k double").select("k", mixing.bucket(mixing.F.col("k")).alias("b")).orderBy("k").collect()
+    b = [r.b for r in rows]
+    assert b == sorted(b) and max(collections.Counter(b).values()) < 100
+
+
 def test_mixing_prefers_quality(spark):
     rows = [(i, ("word " * 20) if i % 2 else ("w#rd " * 20), s) for s in "ab" for i in range(400)]
     got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 3)).where("source = 'a'").collect()
