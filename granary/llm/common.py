@@ -47,17 +47,22 @@ def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     spark = df.sparkSession
     n, table = partitions(spark), f"granary_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/granary/{table}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", path).saveAsTable(table)
+    bounded(df).repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", path).saveAsTable(table)
     deleted_at_exit(spark, path)
     return spark.table(table)
 
 
+#: Rows and bytes of an Arrow batch, and rows of a Parquet reader's batch, for texts.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
 def bounded(df: DataFrame) -> DataFrame:
-    """Sees to it that a batch of texts stays small in a Python worker, unless the session says
-    how many rows a batch has."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name, None) is None:
-        df.sparkSession.conf.set(name, "1000")
+    """Sees to it that a batch of texts stays small in readers and Python workers, where the
+    session does not say how large a batch is."""
+    conf = df.sparkSession.conf
+    for name, value in SMALL.items():
+        if conf.get(name, None) is None:
+            conf.set(name, value)
     return df
 
 

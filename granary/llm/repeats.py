@@ -34,7 +34,7 @@ FOUND = "g_k long, g_d long, g_at int, g_n int, g_kind int, g_a long, g_s long"
 OPEN, SEEN, SURE = 0, 1, 2  # states: undecided; repeated, a final span; undecided but seen twice
 SPAN, ASKS, WITNESS = 0, 1, 2  # kinds of findings
 #: Rows that are settled together before the shuffle.
-BATCH = 150_000
+BATCH = 75_000
 INDEX = np.uint64((1 << 24) - 1)
 
 Segments = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
