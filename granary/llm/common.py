@@ -93,6 +93,22 @@ def about(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), *[F.col(c) for c in by]), F.lit(1_000_000_007)) < rows * 1_000_000_007 // n)
 
 
+#: A key with more than one of so many rows is hot; there are at most so many.
+HOT = 1000
+
+
+def joined_by_size(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows with the columns of `table` (a row for each key, staged; `count`: how many of `total`
+    rows have it).  What hot keys have is sent to every task, so that none gathers such a key's
+    rows; the rest meets by key."""
+    hot = table.where(F.col(count) > total // HOT).drop(count)  # under HOT rows
+    names = [c for c in table.columns if c not in (key, count)]
+    known = rows.join(F.broadcast(hot.select(key, F.struct(*names).alias("g_hot"))), key, "left")
+    near = known.where("g_hot is not null").select(*rows.columns, *[F.col(f"g_hot.{c}").alias(c) for c in names])
+    rest = known.where("g_hot is null").select(*rows.columns).join(table.where(F.col(count) <= total // HOT).drop(count), key)
+    return near.unionByName(rest)
+
+
 def carried(df: DataFrame, keep: list[str] | None) -> Column:
     """The columns that the caller wants back, as one struct, so that no name can clash."""
     names = keep or []

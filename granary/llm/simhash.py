@@ -287,18 +287,21 @@ def links(distinct: DataFrame, radius: int, count: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """g_k, g_d, g_fp, and g_root: the least fingerprint of the component."""
+    """g_k, g_d, g_fp, g_root (the least fingerprint of the component) and g_least (its least g_d)."""
     prints = fingerprinted(docs, doc_id, text)
-    distinct = C.stage(prints.select("g_fp").distinct(), "distinct")
-    roots = components(links(distinct, radius, distinct.count()))
-    return prints.join(roots.withColumnRenamed("u", "g_fp"), "g_fp", "left").select("g_k", "g_d", "g_fp", F.coalesce("root", "g_fp").alias("g_root"))
+    each = C.stage(prints.groupBy("g_fp").agg(F.min("g_d").alias("g_first"), F.count(F.lit(1)).alias("g_n")), "distinct")
+    count, total = each.agg(F.count(F.lit(1)), F.sum("g_n")).first()
+    roots = components(links(each.select("g_fp"), radius, count)).withColumnRenamed("u", "g_fp")
+    named = C.stage(each.join(roots, "g_fp", "left").withColumn("g_root", F.coalesce("root", "g_fp")).drop("root"), "named")
+    least = C.stage(named.groupBy("g_root").agg(F.min("g_first").alias("g_least"), F.count(F.lit(1)).alias("g_m")), "least")
+    known = C.stage(C.joined_by_size(named.drop("g_first"), least, "g_root", "g_m", count), "known")
+    return C.joined_by_size(prints, known, "g_fp", "g_n", total or 0)
 
 
 def classes(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id within reach)."""
     found = near_duplicates(docs, radius, doc_id, text)
-    least = found.groupBy("g_root").agg(F.min("g_d").alias("g_least"))
-    return found.join(least, "g_root").select(C.real_id(F.col("g_d")).alias("doc_id"), F.lpad(F.lower(F.hex("g_fp")), 16, "0").alias("fingerprint"), C.real_id(F.col("g_least")).alias("component_id"))
+    return found.select(C.real_id(F.col("g_d")).alias("doc_id"), F.lpad(F.lower(F.hex("g_fp")), 16, "0").alias("fingerprint"), C.real_id(F.col("g_least")).alias("component_id"))
 
 
 # similarity of sets
