@@ -208,8 +208,9 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     hot = R.frequent(docs, segments)
     found = C.stage(R.resolve(R.segment_rows(docs, segments, False, hot), False, hot), "anchors")
     variants = found.where(F.col("g_kind") != R.SPAN)
-    many = variants.groupBy("g_a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SPREAD_FROM).select("g_a", F.lit(True).alias("g_open"))
-    dealt = C.stage(variants.join(many, "g_a", "left").withColumn("g_open", F.coalesce("g_open", F.lit(False))), "variants")
+    counts = C.stage(variants.groupBy("g_a").agg(F.count(F.lit(1)).alias("n")), "counts")
+    dealt = C.joined_by_size(variants, counts.withColumn("g_open", F.col("n") >= SPREAD_FROM), "g_a", "n", counts.agg(F.sum("n")).first()[0] or 0)
+    dealt = C.stage(dealt, "variants")
     total = dealt.agg(F.sum(F.col("g_n") + (length - 1)), F.sum(F.when(F.col("g_open"), F.col("g_n")))).first()
     shards, buckets = max(n, (total[0] or 0) // SHARD_BYTES), np.uint64(max(1, -(-(total[1] or 0) // RUN_ROWS)))
     spread = F.when(F.col("g_open"), F.xxhash64("g_a", "g_s")).otherwise(F.xxhash64("g_a"))
