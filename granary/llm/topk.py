@@ -3,10 +3,12 @@
 Vectors become whole numbers and get one more component, sqrt(M^2 - |x|^2) with M the greatest
 norm of their block, so that all lie on a sphere, and the greatest inner product is the least
 Euclidean distance.  Each block of candidates is an M-tree: pages of entries with a routing
-vector, a covering radius and the distance to the parent's routing vector.  A query takes nodes
-from a heap by least possible distance and stops when that exceeds its k-th best; entries that
-the stored distances and the triangle inequality rule out are not computed.  Scores are exact
-whole numbers; the bounds allow for rounding, and ties go to the smaller id.
+vector, a covering radius and the distance to the parent's routing vector.  Queries go down a
+tree together: first each to its nearest leaf, then nodes come from a heap by least possible
+distance, each with the queries whose k-th best that does not exceed, and one product of matrices
+scores them all; entries that the stored distances and the triangle inequality rule out for every
+one are not computed.  Scores are exact whole numbers; the bounds allow for rounding, and ties go
+to the smaller id.
 
 Queries meet every block, in blocks of their own, as a stated query set against all rows; each
 pair of blocks is a task of bounded size.  The ten best of each pair are ranked at the end.
@@ -85,42 +87,66 @@ class MTree:
 
     def search(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best rows that are not `own`, best first."""
-        best: list[tuple[int, int]] = []
-        if not len(self.x):
-            return best
-        base = int((q * q).sum()) + self.top  # squared distance: base - 2 * score
-        slack = 1e-6 * (1.0 + float(base) ** 0.5)
-        bound = np.inf
-        heap = [(0.0, self.root, -1.0)]
+        _, scores, ids = self.search_all(np.array([own]), q[None], k)
+        return list(zip(scores.tolist(), ids.tolist(), strict=True))
+
+    def search_all(self, own: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For many queries: which one, score and id of its k best rows, best first."""
+        none = np.zeros(0, np.int64)
+        if not len(self.x) or not len(q):
+            return none, none, none
+        least = -np.inf if q.dtype == np.float64 else -np.iinfo(np.int64).max
+        best, ids = np.full((len(q), k), least, q.dtype), np.full((len(q), k), np.iinfo(np.int64).max)
+        base = norms(q) + self.top  # squared distance: base - 2 * score
+        slack = 1e-6 * (1.0 + np.sqrt(base.astype(np.float64)))
+        bound = np.full(len(q), np.inf)
+        # way (0: each query's nearest child, from the root on), least possible distance of any
+        # query, a number that keeps the order strict; node, queries, least possible distances of
+        # each, distances to the parent's routing vector
+        made = 0
+        heap = [(0, 0.0, made, self.root, np.arange(len(q)), np.zeros(len(q)), None)]
         while heap:
-            least, node, from_parent = heapq.heappop(heap)
-            if least > bound:
-                break
+            way, _, _, node, who, low, from_parent = heapq.heappop(heap)
             leaf, rows, stored, radius, child = self.nodes[node]
-            if from_parent >= 0 and bound < np.inf:
-                reach = np.abs(from_parent - stored) - (0 if leaf else radius)
-                keep = reach <= bound
-                if not keep.any():
-                    continue
-                rows = rows[keep]
+            some = low <= bound[who]
+            if from_parent is not None and some.any():
+                keep = np.abs(from_parent[some, None] - stored) - (0 if leaf else radius) <= bound[who[some], None]
+                some[some], wanted = keep.any(1), keep.any(0)
+                rows = rows[wanted]
                 if not leaf:
-                    radius, child = radius[keep], child[keep]
-            scores = self.x[rows] @ q
+                    radius, child = radius[wanted], child[wanted]
+            who = who[some]
+            if not len(who):
+                continue
+            scores = q[who] @ self.x[rows].T
             if leaf:
-                for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
-                    if i != own and (len(best) < k or (-s, i) < best[-1]):
-                        best.append((-s, i))
-                        best.sort()
-                        del best[k:]
-                if len(best) == k:
-                    bound = np.sqrt(max(base + 2 * best[-1][0], 0)) + slack
-            else:
-                d = np.sqrt(np.maximum(base - 2 * scores, 0))
-                low = np.maximum(d - radius, 0.0)
-                for a, c, e in zip(low.tolist(), child.tolist(), d.tolist(), strict=True):
-                    if a <= bound:
-                        heapq.heappush(heap, (a, c, e))
-        return [(-s, i) for s, i in best]
+                near = self.ids[rows]
+                at, to = np.nonzero((scores >= best[who, -1:]) & (near != own[who, None]))
+                if len(at):
+                    self._merge(best, ids, who[at], scores[at, to], near[to])
+                    found = who[best[who, -1] > least]
+                    bound[found] = np.sqrt(np.maximum(base[found] - 2 * best[found, -1], 0)) + slack[found]
+                continue
+            d = np.sqrt(np.maximum(base[who, None] - 2 * scores, 0))
+            low = np.maximum(d - radius, 0.0)
+            first = np.argmin(d, 1) if way == 0 else np.full(len(who), -1)
+            for c in range(len(rows)):
+                for next_way, these in ((0, first == c), (1, (first != c) & (low[:, c] <= bound[who]))):
+                    if these.any():
+                        made += 1
+                        heapq.heappush(heap, (next_way, float(low[these, c].min()), made, child[c], who[these], low[these, c], d[these, c]))
+        there = best > least
+        return np.nonzero(there)[0], best[there], ids[there]
+
+    @staticmethod
+    def _merge(best: np.ndarray, ids: np.ndarray, who: np.ndarray, scores: np.ndarray, near: np.ndarray) -> None:
+        """Puts scores and ids of new rows among the best of their queries; in place."""
+        k, u = best.shape[1], np.unique(who)
+        who, scores, near = np.concatenate([np.repeat(u, k), who]), np.concatenate([best[u].ravel(), scores]), np.concatenate([ids[u].ravel(), near])
+        order = np.lexsort((near, -scores, who))
+        start = np.searchsorted(who[order], u)
+        order = order[start[:, None] + np.arange(k)]
+        best[u], ids[u] = scores[order], near[order]
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
@@ -160,7 +186,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     copies = forest.withColumn("g_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list = [[], [], []]
         if left.num_rows and right.num_rows:
             tree = MTree.__new__(MTree)
             tree.__dict__.update(pickle.loads(right.column("tree")[0].as_py()))
@@ -171,10 +197,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
             small = int(np.abs(q).max(initial=0)) * int(np.abs(tree.x).max(initial=0)) * max(width, 1) < 1 << 50 and int(np.abs(q).max(initial=0)) ** 2 * max(width, 1) < 1 << 50
             q = q.astype(np.float64) if small and tree.x.dtype == np.float64 else q
             tree.x = tree.x if q.dtype == np.float64 else tree.x.astype(np.int64)
-            for own, v in zip(C.ints(left.column("vec_id")).tolist(), q, strict=True):
-                out += [(own, i, int(s)) for s, i in tree.search(own, v, k)]
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+            own = C.ints(left.column("vec_id"))
+            who, scores, ids = tree.search_all(own, q, k)
+            out = [own[who], ids, scores.astype(np.int64)]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     found = asked.groupBy("g_block", "g_group").cogroup(copies.groupBy("g_block", "g_group")).applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -193,6 +193,30 @@ def test_tree_skips():
     assert sum(seen) < 2500
 
 
+@pytest.mark.parametrize("kind", [np.float64, np.int64])
+def test_queries_share_nodes(kind):
+    """A tree's nodes are scored for many queries at a time, not once for each, and exactly."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(2000, 16)), np.repeat(rng.normal(size=(20, 16)), 50, 0), rng.normal(size=(20, 1)).repeat(50, 0) + rng.normal(size=(1000, 16)) / 100])
+    x, ids = np.floor(x * 1024).astype(kind), rng.permutation(len(x)) // 2  # ids come twice
+    tree, calls = topk.MTree(ids, x), []
+
+    class Counted:
+        def __len__(self):
+            return len(x)
+
+        def __getitem__(self, i):
+            calls.append(i)
+            return x[i]
+
+    tree.x, asked = Counted(), np.arange(0, len(x), 8)
+    who, scores, found = tree.search_all(ids[asked], x[asked], 10)
+    for n, a in enumerate(asked):
+        want = sorted((-int(s), i) for s, i in zip(x @ x[a], ids.tolist(), strict=True) if i != ids[a])[:10]
+        assert [(-int(s), i) for s, i in zip(scores[who == n], found[who == n].tolist(), strict=True)] == want
+    assert len(calls) <= 4 * len(tree.nodes)
+
+
 @pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_quality_rules", "op7_substring_dedup", "op9_mixing", "op10_topk"])
 def test_against_sql(name, spark, sf_dir):
     same(queries.queries()[name], queries.oracle_sql()[name], spark, sf_dir)
